@@ -105,7 +105,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def joined(kinds: tuple[Kind, ...]) -> Column:
     """kind:start:end of all spans, comma-joined, kinds in order and then by start."""
-    parts = [F.transform(f"{k.name}_spans", lambda s, n=k.name: F.concat_ws(":", F.lit(n), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]
+
+    def named(kind: Kind) -> Column:
+        return F.transform(f"{kind.name}_spans", lambda s: F.concat_ws(":", F.lit(kind.name), s["start"].cast("string"), s["end"].cast("string")))
+
+    parts = [named(k) for k in kinds]
     return F.array_join(F.concat(*parts), ",")
 
 
