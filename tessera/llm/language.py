@@ -47,9 +47,9 @@ def word_features(word: str) -> list[int]:
     return out
 
 
-def forward_backward(e: np.ndarray, real: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals [chain, word, label] and summed pair marginals [label, label] from emission scores e, for words where
-    real holds (each chain's real words come first), and transition scores t."""
+def forward_backward(e: np.ndarray, real: np.ndarray, t: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals [chain, word, label] and, where asked for, summed pair marginals [label, label] from emission scores e,
+    for words where real holds (each chain's real words come first), and transition scores t."""
     n, m, k = e.shape
     x, step = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(t)
     a, b = np.empty_like(x), np.ones_like(x)
@@ -65,7 +65,7 @@ def forward_backward(e: np.ndarray, real: np.ndarray, t: np.ndarray) -> tuple[np
     p = a * b
     p /= p.sum(axis=2, keepdims=True)
     pairs = np.zeros((k, k))
-    for i in range(1, m):
+    for i in range(1, m) if with_pairs else ():
         left, right = a[:, i - 1], x[:, i] * b[:, i]
         z = np.einsum("ni,ij,nj->n", left, step, right)
         w = np.where(real[:, i], 1 / np.maximum(z, 1e-300), 0.0)
@@ -120,7 +120,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Crf:
     w, t, gw, gt = np.zeros((DIMENSIONS, k)), np.zeros((k, k)), np.full((DIMENSIONS, k), 1e-6), np.full((k, k), 1e-6)
     for _ in range(STEPS):
         e = np.stack([np.bincount(row, w[col, j], minlength=len(words)) for j in range(k)], axis=1) * scale[:, None]
-        p, pairs = forward_backward(np.where(real[..., None], e[ids], 0.0), real, t)
+        p, pairs = forward_backward(np.where(real[..., None], e[ids], 0.0), real, t, with_pairs=True)
         diff = (truth - p) * real[..., None]
         by_word = np.stack([np.bincount(ids[real], diff[..., j][real], minlength=len(words)) for j in range(k)], axis=1) * scale[:, None]
         grad = np.stack([np.bincount(col, by_word[row, j], minlength=DIMENSIONS) for j in range(k)], axis=1) - 1e-3 * w
