@@ -14,16 +14,16 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import texts
-from .tokenizer import ForcedBoundaryBpe
+from .common import pieces, texts
+from .tokenizer import worker_bpe
 
 VOCABULARY = "word_bpe_49k.json"
 
 
 def _encode(vocabulary: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBpe(public_tokenizers.path(vocabulary))
-        for batch in batches:
+        bpe = worker_bpe(public_tokenizers.path(vocabulary))
+        for batch in (p for b in batches for p in pieces(b, "text")):
             n, ids, back = [], [], []
             for text in batch.column("text"):
                 count, joined, strings = bpe.encoded(text.as_py())

@@ -4,7 +4,7 @@ Texts are dealt out by ranges of doc_id (rows of equal doc_id by a hash of the t
 one range), sorted, encoded by the tokenizers library and written. Each row holds doc_id, part, local_start (ids of the
 documents before it in its part), n_tokens and ids; so metadata is read without the ids, and some documents' ids are read
 by pushing a doc_id filter down to row groups and pages. White space is never inside a token of this vocabulary, so each
-task encodes a chunk without white space once and joins the chunks' ids.
+Python worker lets the library encode a chunk without white space once, remembers it while in use, and joins the ids.
 
 Defined cases: null and empty texts hold the end id alone; repeated rows are written again, next to each other; a null
 doc_id comes first; other columns are ignored; an empty table gives no rows.
@@ -24,39 +24,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import scratch, texts
-from .tokenizer import CACHE, ODD
+from .common import pieces, scratch, texts
+from .tokenizer import ODD, ForcedBoundaryBpe, Memory, worker_bpe
 
 END = 2
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
+_WORKER: dict[str, tuple] = {}
+
+
+def _library(vocabulary: str) -> tuple[Tokenizer, ForcedBoundaryBpe, Memory]:
+    """This Python worker's tokenizer, the splitting of chunks into words, and what it remembers from earlier tasks."""
+    if vocabulary not in _WORKER:
+        path = public_tokenizers.path(vocabulary)
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        _WORKER[vocabulary] = t, worker_bpe(path), Memory()
+    return _WORKER[vocabulary]
+
+
 def _encode(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        tokenizer, words, memory = _library(vocabulary)
+        special, model = list(words.special), tokenizer.model
         part, start, last = TaskContext.get().partitionId(), 0, np.array([end], "<i4").tobytes()
-        known: dict[str, bytes] = {}
 
         def raw(ids: list[int]) -> bytes:
             return np.array(ids, "<i4").tobytes()
 
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, "text")):
+            split = [None if any(x in t for x in special) else regex.split(r"\s+", t) if ODD.search(t) else t.split() for t in batch.column("text").to_pylist()]
+            own = {c: memory.get(c) for c in {c for s in split if s for c in s}}
+            if new := [c for c, v in own.items() if v is None]:
+                for c in new:  # the library's merges on each word
+                    own[c] = raw([t.id for w in words.split(c) for t in model.tokenize(w)])
+                    memory.put(c, own[c])
             begin, count, blobs = [], [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                if any(x in text for x in special):
-                    blob = raw(tokenizer.encode(text, add_special_tokens=False).ids)
-                else:
-                    chunks = regex.split(r"\s+", text) if ODD.search(text) else text.split()
-                    if new := list({c for c in chunks if c not in known}):
-                        if len(known) >= CACHE:
-                            known.clear()
-                            new = list(set(chunks))
-                        known.update((c, raw(e.ids)) for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-                    blob = b"".join([known[c] for c in chunks])
+            for text, chunks in zip(batch.column("text"), split, strict=True):
+                blob = raw(tokenizer.encode(text.as_py(), add_special_tokens=False).ids) if chunks is None else b"".join([own[c] for c in chunks])
                 blobs.append(blob + last)
                 begin.append(start)
                 count.append(len(blobs[-1]) // 4)

@@ -3,8 +3,9 @@
 White space is dropped by the vocabulary's own rules and never inside a token, so a text falls apart into chunks without
 it. A chunk is normalised (NFC, then each character lower-cased) and split into words by the file's pattern. Within a
 word, a pair of bytes that occurs in no vocabulary token (at a word's end: with the suffix) can never be merged across,
-so it marks a certain cut; the fragments between the cuts are encoded independently and concatenated. Chunks recur, so
-each task remembers what it has encoded, up to CACHE of them at a time.
+so it marks a certain cut; the fragments between the cuts are encoded independently and concatenated. A fragment within a
+word goes through the vocabulary's merges without the suffix, the last one of a word with it. Chunks recur, so each Python
+worker remembers what it has encoded, CACHE chunks at most, and keeps those in use when it forgets.
 
 Decoding without a decoder in the file joins the tokens' strings by one space.
 """
@@ -17,12 +18,34 @@ import unicodedata
 
 import regex
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
-CACHE = 400_000
+CACHE = 300_000
+#: What may follow a word in a chunk that is split without the pattern: runs of ASCII marks are one word, but for contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space that Python's split() knows and the vocabulary's pattern doesn't.
 ODD = re.compile("[\x1c-\x1f]")
 
 
+class Memory:
+    """What a worker has worked out, in two halves: a full half becomes the old one, and the older is forgotten."""
+
+    def __init__(self, size: int = CACHE):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def get(self, key):
+        """The value, or None; one from the old half is young again."""
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def byte_letters() -> list[str]:
     """The visible letter for each byte: itself where it is printable, else the next one from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,9 +67,11 @@ class ForcedBoundaryBpe:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(model["merges"])}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.letters = byte_letters()
+        self.to_letters = dict(enumerate(self.letters))
         library = Tokenizer.from_file(path)
+        self.within, self.ending = BPE(vocab=self.vocab, merges=merges), library.model
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -57,59 +82,52 @@ class ForcedBoundaryBpe:
             self.inner.update(zip(body, body[1:]))
             if ends and len(body) > 1:
                 self.last.add((body[-2], body[-1]))
-        self.fragments: dict[tuple[str, bool], list[str]] = {}
-        self.chunks: dict[str, tuple] = {}
+        self.memory = Memory()
+
+    def split(self, chunk: str) -> list[str]:
+        """The chunk's normalised words, as letters for bytes. Letters from U+0250 on, whose classes differ between versions
+        of Unicode, are normalised and split by the library's own tables."""
+        if max(chunk, default="") >= "\u0250":
+            return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
+        body = chunk.rstrip(MARKS)
+        low = body.lower()
+        if low.isalpha():
+            words = [low, chunk[len(body) :]] if len(body) < len(chunk) else [low]
+        else:
+            words = self.words.findall(unicodedata.normalize("NFC", chunk).lower())
+        return [w if w.isascii() else w.encode().decode("latin-1").translate(self.to_letters) for w in words]
 
     def cuts(self, word: str) -> list[str]:
         """The word's fragments between certain cuts. The last letter bears the suffix, so its pair must be one that ends a token."""
-        out, a = [], 0
-        for i in range(1, len(word)):
-            if (word[i - 1], word[i]) not in (self.last if i == len(word) - 1 else self.inner):
+        out, a, stop = [], 0, len(word) - 1
+        inner, last = self.inner, self.last
+        for i, pair in enumerate(zip(word, word[1:]), 1):
+            if pair not in (last if i == stop else inner):
                 out.append(word[a:i])
                 a = i
         out.append(word[a:])
         return out
 
     def merge(self, fragment: str, ends: bool) -> list[str]:
-        known = self.fragments.get((fragment, ends))
-        if known is not None:
-            return known
-        s = list(fragment)
-        if ends:
-            s[-1] += self.end
-        while len(s) > 1:
-            rank, at = min((self.ranks.get((s[i], s[i + 1]), 1 << 60), i) for i in range(len(s) - 1))
-            if rank == 1 << 60:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
-        if len(self.fragments) >= CACHE:
-            self.fragments.clear()
-        self.fragments[fragment, ends] = s
-        return s
+        return [t.value for t in (self.ending if ends else self.within).tokenize(fragment)]
 
     def tokens(self, chunk: str) -> list[str]:
-        """The token strings of a text without special tokens. Letters from U+0250 on, whose classes differ between
-        versions of Unicode, are normalised and split by the library's own tables."""
-        if chunk and max(chunk) >= "\u0250":
-            split = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
-        else:
-            split = ["".join([self.letters[b] for b in w.encode()]) for w in self.words.findall(unicodedata.normalize("NFC", chunk).lower())]
+        """The token strings of a text without special tokens."""
         out: list[str] = []
-        for letters in split:
+        for letters in self.split(chunk):
             parts = self.cuts(letters)
-            for i, part in enumerate(parts):
-                out += self.merge(part, i == len(parts) - 1)
+            for part in parts[:-1]:
+                out += self.merge(part, False)
+            out += self.merge(parts[-1], True)
         return [t for t in out if t in self.vocab]
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """(number of tokens, decimal ids joined by a space, token strings joined by a space) of a chunk."""
-        known = self.chunks.get(chunk)
+        known = self.memory.get(chunk)
         if known is None:
             t = self.tokens(chunk)
             known = (len(t), " ".join([str(self.vocab[x]) for x in t]), " ".join(t))
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = known
+            self.memory.put(chunk, known)
         return known
 
     def encoded(self, text: str) -> tuple[int, str, str]:
@@ -120,7 +138,7 @@ class ForcedBoundaryBpe:
                 n, ids, strings = n + 1, [*ids, str(self.special[part])], [*strings, part]
                 continue
             pieces = regex.split(r"\s+", part) if ODD.search(part) else part.split()
-            get, chunk = self.chunks.get, self.chunk
+            get, chunk = self.memory.young.get, self.chunk
             for x in pieces:
                 c = get(x) or chunk(x)
                 if c[0]:
@@ -134,3 +152,13 @@ class ForcedBoundaryBpe:
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.names[i] for i in ids if i in self.names)
+
+
+_WORKER: dict[str, ForcedBoundaryBpe] = {}
+
+
+def worker_bpe(path: str) -> ForcedBoundaryBpe:
+    """This Python worker's encoder of a vocabulary, with what it remembers from earlier tasks."""
+    if path not in _WORKER:
+        _WORKER[path] = ForcedBoundaryBpe(path)
+    return _WORKER[path]
