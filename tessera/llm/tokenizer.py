@@ -95,7 +95,7 @@ class ForcedBoundaryBpe:
             words = [low, chunk[len(body) :]] if len(body) < len(chunk) else [low]
         else:
             words = self.words.findall(unicodedata.normalize("NFC", chunk).lower())
-        return [w if w.isascii() else w.encode().decode("latin-1").translate(self.to_letters) for w in words]
+        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.to_letters) for w in words]
 
     def cuts(self, word: str) -> list[str]:
         """The word's fragments between certain cuts. The last letter bears the suffix, so its pair must be one that ends a token."""
