@@ -13,6 +13,7 @@ doc_id comes first; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from tokenizers import Tokenizer
 from .common import pieces, scratch, texts
 from .tokenizer import ODD, ForcedBoundaryBpe, Memory, worker_bpe
 
-END = 2
+#: REMEMBERED: chunks whose ids a worker holds, some 200 bytes each.
+END, REMEMBERED = 2, 450_000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -41,7 +43,7 @@ def _library(vocabulary: str) -> tuple[Tokenizer, ForcedBoundaryBpe, Memory]:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _WORKER[vocabulary] = t, worker_bpe(path), Memory()
+        _WORKER[vocabulary] = t, worker_bpe(path), Memory(REMEMBERED)
     return _WORKER[vocabulary]
 
 
@@ -52,7 +54,7 @@ def _encode(vocabulary: str, end: int):
         part, start, last = TaskContext.get().partitionId(), 0, np.array([end], "<i4").tobytes()
 
         def raw(ids: list[int]) -> bytes:
-            return np.array(ids, "<i4").tobytes()
+            return array("i", ids).tobytes()
 
         for batch in (p for b in batches for p in pieces(b, "text")):
             split = [None if any(x in t for x in special) else regex.split(r"\s+", t) if ODD.search(t) else t.split() for t in batch.column("text").to_pylist()]
