@@ -155,9 +155,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = without(source.where("doc_id is not null"), copies.select("doc_id"), "doc_id").mapInArrow(_windows(k, percent, late), "pivot long, doc_id long, n long, place long")
     rows = written(rows, "jaccard-windows")
     shared = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("pivot")
-    live = written(rows.join(shared, "pivot", "left_semi").distinct(), "jaccard-regions").withColumn("comp", F.col("doc_id"))
-    sets = only(source, live.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_full_sets(k), "doc_id long, members binary")
-    sets = written(sets, "jaccard-sets")
+    live = written(rows.join(shared, "pivot", "left_semi"), "jaccard-regions").withColumn("comp", F.col("doc_id"))
+    sets = only(source, live.select("doc_id").distinct(), "doc_id").mapInArrow(_full_sets(k), "doc_id long, members binary")
+    sets = written(sets, "jaccard-sets")  # a repeated row has its set again, and its links once more
 
     labels = None
     draw = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("u")
