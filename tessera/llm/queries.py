@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language, line_dedup, pii, token_files, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, katz, language, line_dedup, pii, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": bpe.op2_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_language": language.op4_language,
+        "op5_katz": katz.op5_katz,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
