@@ -129,7 +129,7 @@ _PLAIN_SQL = f"translate(%s, '{T.ACCENTED}', '{T.PLAIN}')"
 @register(f"""
 WITH d AS (SELECT doc_id, text, {_PLAIN_SQL % "replace(replace(replace(replace(lower(trim(text)), 'ß', 'ss'), 'æ', 'ae'), 'ø', 'o'), 'œ', 'oe')"} AS x FROM documents),
 n AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(x, '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_\\s.\\-]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm,
-  trim(regexp_replace(regexp_replace(upper(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS descr FROM d)
+  trim(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'SS')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS descr FROM d)
 SELECT doc_id, sha256(norm) AS norm_sha256, length(norm) AS norm_length, length(descr) AS descr_length,
   len(list_filter(string_split(descr, ' '), lambda w: w NOT IN ('DE', 'LA', 'EL', 'EN', 'CON', 'Y', 'O', 'DEL') AND length(w) > 1)) AS n_tokens FROM n
 """)
