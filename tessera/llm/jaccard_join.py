@@ -156,9 +156,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = written(rows, "jaccard-windows")
     shared = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("pivot")
     live = written(rows.join(shared, "pivot", "left_semi"), "jaccard-regions").withColumn("comp", F.col("doc_id"))
-    sets = only(source, live.select("doc_id").distinct(), "doc_id").mapInArrow(_full_sets(k), "doc_id long, members binary")
-    sets = written(sets, "jaccard-sets")  # a repeated row has its set again, and its links once more
-
     labels = None
     draw = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("u")
     share = 1
@@ -176,8 +173,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))  # shingles that a linked pair has in common
         near = (F.col("ca") != F.col("cb")) & ((F.col("ub") < F.col("ua")) | ((F.col("ub") == F.col("ua")) & (F.col("b") < F.col("a"))))
         near &= (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
-        pairs = x.join(p, "pivot").where(near).select("a", "b", "ca", "cb").distinct()
-        full = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("ys")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("xs")), "a")
+        pairs = written(x.join(p, "pivot").where(near).select("a", "b").distinct(), "jaccard-pairs")
+        # the full sets of the documents in this round's pairs alone; a repeated row has its set again, and its links once more
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = written(only(source, ids, "doc_id").mapInArrow(_full_sets(k), "doc_id long, members binary"), "jaccard-sets")
+        full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("ys")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("xs")), "a")
         links = written(full.select("a", "b", "xs", "ys").mapInArrow(_linked(percent), "a long, b long"), "jaccard-links")
         if labels is not None:
             name = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c)).alias(c)
