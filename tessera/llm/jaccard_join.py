@@ -101,26 +101,24 @@ def _windows(k: int, percent: int, late: np.ndarray):
     return run
 
 
-def _full_sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in pieces(batch, "text"):
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "members": pa.array([x.tobytes() for x in shingle_sets(b.column("text"), k)], pa.binary())})
-
-    return run
+def _linked(k: int, percent: int):
+    """The pairs (a, b) whose texts xs and ys link; a document's set is made once for the rows of a piece."""
 
+    def sets_of(b: pa.RecordBatch, key: str, text: str) -> tuple[list[np.ndarray], np.ndarray]:
+        _, at, back = np.unique(b.column(key).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        return shingle_sets(b.column(text).take(pa.array(at)), k), back
 
-def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("xs"), b.column("ys"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for b in pieces(batch, "xs"):
+                (xs, i), (ys, j) = sets_of(b, "a", "xs"), sets_of(b, "b", "ys")
+                keep = []
+                for x, y in zip((xs[v] for v in i), (ys[v] for v in j), strict=True):
+                    if len(x) > len(y):
+                        x, y = y, x
+                    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+                    keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -174,11 +172,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         near = (F.col("ca") != F.col("cb")) & ((F.col("ub") < F.col("ua")) | ((F.col("ub") == F.col("ua")) & (F.col("b") < F.col("a"))))
         near &= (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
         pairs = written(x.join(p, "pivot").where(near).select("a", "b").distinct(), "jaccard-pairs")
-        # the full sets of the documents in this round's pairs alone; a repeated row has its set again, and its links once more
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = written(only(source, ids, "doc_id").mapInArrow(_full_sets(k), "doc_id long, members binary"), "jaccard-sets")
-        full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("ys")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("xs")), "a")
-        links = written(full.select("a", "b", "xs", "ys").mapInArrow(_linked(percent), "a long, b long"), "jaccard-links")
+        # the texts of the documents in this round's pairs alone: smaller than their sets, which each task makes for itself
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-paired")
+        some = only(source, ids, "doc_id")
+        full = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("ys")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("xs")), "a")
+        links = written(full.select("a", "b", "xs", "ys").mapInArrow(_linked(k, percent), "a long, b long"), "jaccard-links")
         if labels is not None:
             name = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c)).alias(c)
             links = links.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left").select(name("a"), name("b")).distinct()
