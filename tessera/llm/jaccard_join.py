@@ -11,7 +11,7 @@ distance 1 from each other, so documents as first pivots would tell nothing apar
   them; this makes regions small and never changes the result.
 * Regions join recursively. In each region documents become pivots: one at first, then four, sixteen ... times as many,
   until all have been or the whole region is one component. Documents compare with a pivot of another component only:
-  by size, by the bound that the places in the windows give, then exactly on the full sets. Documents that link to a
+  by size, by the bounds that the places in the windows and PARITY bits of each set give, then exactly on the full sets. Documents that link to a
   pivot join its component at once, so a group of near copies costs a few comparisons a member, not all pairs.
 
 Documents with equal sets are one point of the space and are joined once.
@@ -35,6 +35,8 @@ from .common import STEP, mix, only, pieces, shingles, texts, without, words, wr
 
 #: Shingles that lie in at least OFTEN windows come last in the order of pivots; at most ORDER_BOUND of them, the most frequent.
 OFTEN, ORDER_BOUND = 16, 1 << 18
+#: Bits that bound how much two sets differ.
+PARITY = 1024
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -59,6 +61,25 @@ def window_size(n, percent: int):
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def parity(x: np.ndarray) -> bytes:
+    """PARITY bits: bit i is set where an odd number of shingle hashes fall on it. Two sets' bits differ in at most as many places
+    as the sets differ in members."""
+    return np.packbits((np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes()
+
+
+def _close(percent: int):
+    """The pairs (a, b) whose bits allow the similarity: links have (100 + percent) * difference <= (100 - percent) * (na + nb)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, ys = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, PARITY // 8) for c in ("xs", "ys"))
+            apart = np.bitwise_count(xs ^ ys).sum(axis=1, dtype=np.int64)
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array((100 + percent) * apart <= (100 - percent) * total))
+
+    return run
+
+
 def _signatures(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +90,7 @@ def _signatures(k: int, percent: int):
                 heads = [x[:p] for x, p in zip(sets, size, strict=True)]
                 flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column("doc_id"), "n": pa.array(n), "point": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                    "doc_id": b.column("doc_id"), "n": pa.array(n), "bits": pa.array([parity(x) for x in sets], pa.binary()), "point": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                     "head": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.view(np.int64))),
                 })
 
@@ -140,7 +161,7 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     source = texts(docs)
-    points = written(source.mapInArrow(_signatures(k, percent), "doc_id long, n long, point binary, head array<long>"), "jaccard-points")
+    points = written(source.mapInArrow(_signatures(k, percent), "doc_id long, n long, bits binary, point binary, head array<long>"), "jaccard-points")
     groups = points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     several = written(groups.where("copies > 1").select("point", "rep"), "jaccard-copies")
     member = points.where("n > 0").select("doc_id", "point").join(several, "point")
@@ -172,6 +193,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         near = (F.col("ca") != F.col("cb")) & ((F.col("ub") < F.col("ua")) | ((F.col("ub") == F.col("ua")) & (F.col("b") < F.col("a"))))
         near &= (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
         pairs = written(x.join(p, "pivot").where(near).select("a", "b").distinct(), "jaccard-pairs")
+        bits = points.where("n > 0").select("doc_id", "n", "bits")
+        near = pairs.join(bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ys")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xs")), "a")
+        pairs = written(near.select("a", "b", "na", "nb", "xs", "ys").mapInArrow(_close(percent), "a long, b long"), "jaccard-close")
         # the texts of the documents in this round's pairs alone: smaller than their sets, which each task makes for itself
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-paired")
         some = only(source, ids, "doc_id")
