@@ -275,3 +275,43 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     q, p = F.col("quality") == 1, F.col("n_chars") >= 500
     return d.select("doc_id", "quality", "toxic", F.when(q & (F.col("toxic") == 0), "auto_accept").when(q, "needs_review").otherwise("no_match").alias("decision"), p.alias("predicted"), (p == q).alias("correct"))
+
+
+@register("""
+WITH s AS (SELECT l_orderkey AS query_id, round(1 - l_discount * 5, 6) AS score FROM lineitem), b AS (SELECT query_id, max(score) AS best FROM s GROUP BY 1)
+SELECT query_id, count(*) AS n, count(*) FILTER (round(best - score, 6) <= 0.01) AS strict_ties, count(*) FILTER (round(best - score, 6) <= 0.05) AS loose_ties,
+  round(max(score) - min(score), 6) AS spread, round(stddev_pop(score), 6) AS deviation FROM s JOIN b USING (query_id) GROUP BY query_id
+""")
+def tie_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict and loose ties with the best score of each query, spread and population deviation; the best is a window over the grouping's own shuffle."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.round(1 - F.col("l_discount") * 5, 6).alias("score"))
+    behind = F.round(F.max("score").over(Window.partitionBy("query_id")) - F.col("score"), 6)
+    return s.withColumn("behind", behind).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("behind") <= 0.01).alias("strict_ties"), F.count_if(F.col("behind") <= 0.05).alias("loose_ties"),
+        F.round(F.max("score") - F.min("score"), 6).alias("spread"), F.round(F.stddev_pop("score"), 6).alias("deviation"),
+    )
+
+
+@register(f"""
+WITH {DIRTY_SQL}
+SELECT round(100.0 * count(q_brand) / count(*), 6) AS brand, round(100.0 * count(q_model) / count(*), 6) AS model, round(100.0 * count(q_year) / count(*), 6) AS year, count(q_year) AS with_year FROM q
+""")
+def column_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of rows with a value, for each column, in one pass."""
+    share = lambda c: F.round(100.0 * F.count(c) / F.count(F.lit(1)), 6)
+    return dirty(table(spark, sf_dir, "part")).agg(share("q_brand").alias("brand"), share("q_model").alias("model"), share("q_year").alias("year"), F.count("q_year").alias("with_year"))
+
+
+@register("""
+SELECT user_id AS case_id, max(ts) FILTER (event_type = 'signup') AS extract_at, max(ts) FILTER (event_type = 'view') AS transform_at, max(ts) FILTER (event_type = 'purchase') AS export_at,
+  least(100, 30 * max((event_type = 'signup')::INT) + 40 * max((event_type = 'view')::INT) + 30 * max((event_type = 'purchase')::INT))::BIGINT AS progress FROM events GROUP BY 1
+""")
+def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of a case as columns, and its weighted progress: 30 extract, 40 transform, 30 export."""
+    kind = F.col("event_type")
+    last = lambda k: F.max(F.when(kind == k, F.col("ts")))
+    done = lambda k, w: F.max(F.when(kind == k, w).otherwise(0))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(
+        last("signup").alias("extract_at"), last("view").alias("transform_at"), last("purchase").alias("export_at"),
+        F.least(F.lit(100), done("signup", 30) + done("view", 40) + done("purchase", 30)).cast("long").alias("progress"),
+    )
