@@ -235,3 +235,16 @@ def test_pipeline(spark, tmp_path):
     own = shingle_set(item, 5)
     want = {i for i in left if comp[i] == i and 100 * len(own & sets[i]) < 80 * len(own)}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+def test_parity_bits_never_exceed_the_difference():
+    import numpy as np
+
+    from tessera.llm.jaccard_join import parity
+
+    r = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 5), (40, 38), (300, 300), (5000, 4000)):
+        pool = r.integers(0, 1 << 63, n + m + 1, dtype=np.uint64)
+        x, y = np.unique(r.choice(pool, n)), np.unique(r.choice(pool, m))
+        a, b = (np.frombuffer(parity(v), np.uint8) for v in (x, y))
+        assert np.bitwise_count(a ^ b).sum(dtype=np.int64) <= len(np.setxor1d(x, y))
