@@ -7,9 +7,11 @@ distance 1 from each other, so documents as first pivots would tell nothing apar
 * Windows. Let X be the first i shingles of A in that order. If B holds none of them, d(B, X) = 1 and d(A, X) = 1 - i/|A|,
   so by the triangle inequality d(A, B) >= i/|A|. For i > (1 - t)|A| they cannot link. So A goes to the regions of its
   first floor((1 - t)|A|) + 1 pivots, and any two documents that link share a region.
-* The order of pivots is free. Shingles that lie in many windows come last, as far as a list of bounded length holds
-  them; this makes regions small and never changes the result.
-* Regions join recursively. In each region documents become pivots: one at first, then four, sixteen ... times as many,
+* The order of pivots is free. Shingles that lie in many windows come last, the most frequent at the very end, as far as a
+  list of bounded length holds them; this makes regions small and never changes the result. Windows that lose shingles to
+  the end take in others, so these are counted too, in ORDER_ROUNDS rounds at most: of a frequent passage no shingle
+  stays in a window that rarer shingles can fill.
+* Regions join recursively. In each region documents become pivots: one at first, then WIDER times as many in each round,
   until all have been or the whole region is one component. Documents compare with a pivot of another component only:
   by size, by the bounds that the places in the windows and PARITY bits of each set give, then exactly on the full sets. Documents that link to a
   pivot join its component at once, so a group of near copies costs a few comparisons a member, not all pairs.
@@ -35,6 +37,10 @@ from .common import STEP, mix, only, pieces, shingles, texts, without, words, wr
 
 #: Shingles that lie in at least OFTEN windows come last in the order of pivots; at most ORDER_BOUND of them, the most frequent.
 OFTEN, ORDER_BOUND = 16, 1 << 18
+#: Rounds that count what the windows take in for each shingle that came last, and how many shingles ahead they look for it.
+ORDER_ROUNDS, AHEAD = 1, 4
+#: Growth of the number of pivots from round to round.
+WIDER = 16
 #: Bits that bound how much two sets differ.
 PARITY = 1024
 
@@ -97,7 +103,36 @@ def _signatures(k: int, percent: int):
     return run
 
 
-def _windows(k: int, percent: int, late: np.ndarray):
+def ordered(x: np.ndarray, late: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles in the order of pivots: by hash, then those in `late` by rank; and where the late ones were."""
+    if not len(late) or not len(x):
+        return x, np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(late, x), len(late) - 1)
+    is_late = late[at] == x
+    if not is_late.any():
+        return x, is_late
+    return np.concatenate([x[~is_late], x[is_late][np.argsort(rank[at[is_late]], kind="stable")]]), is_late
+
+
+def _taken_in(k: int, percent: int, late: np.ndarray, rank: np.ndarray):
+    """The shingles that windows take in for those in `late`, AHEAD for each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                found = [np.zeros(0, np.uint64)]
+                for x in shingle_sets(b.column("text"), k):
+                    p = int(window_size(len(x), percent))
+                    by_pivot, is_late = ordered(x, late, rank)
+                    lost = int(is_late[:p].sum())
+                    if lost:
+                        found.append(by_pivot[p - lost : min(p + (AHEAD - 1) * lost, len(x) - int(is_late.sum()))])
+                yield pa.RecordBatch.from_pydict({"s": pa.array(np.concatenate(found).view(np.int64))})
+
+    return run
+
+
+def _windows(k: int, percent: int, late: np.ndarray, rank: np.ndarray):
     """Rows (pivot, doc_id, n, place) of each document's window, shingles in `late` last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +140,9 @@ def _windows(k: int, percent: int, late: np.ndarray):
             for b in pieces(batch, "text"):
                 sets = shingle_sets(b.column("text"), k)
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                keys, n = [], np.array([len(x) for x in sets], dtype=np.int64)
+                n = np.array([len(x) for x in sets], dtype=np.int64)
                 size = window_size(n, percent)
-                for x, p in zip(sets, size, strict=True):
-                    if len(late) and len(x):
-                        at = np.minimum(np.searchsorted(late, x), len(late) - 1)
-                        is_late = late[at] == x
-                        x = np.concatenate([x[~is_late], x[is_late]])
-                    keys.append(x[:p])
+                keys = [ordered(x, late, rank)[0][:p] for x, p in zip(sets, size, strict=True)]
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 begin = np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_pydict({
@@ -144,6 +174,25 @@ def _linked(k: int, percent: int):
     return run
 
 
+def pivot_order(heads: DataFrame, source: DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that come last, sorted, with their ranks; at most ORDER_BOUND of them. heads: the windows' shingles by hash alone."""
+    found: dict[int, int] = {}
+    late, rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _ in range(1 + ORDER_ROUNDS):
+        counted = heads.groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(ORDER_BOUND).toPandas()
+        new = {s: c for s, c in zip(counted["s"].tolist(), counted["count"].tolist(), strict=True) if c > found.get(s, 0)}
+        if not new:
+            break
+        found |= new
+        top = sorted(found.items(), key=lambda sc: (-sc[1], sc[0]))[:ORDER_BOUND]
+        found = dict(top)
+        keys = np.array([s for s, _ in reversed(top)], np.int64).view(np.uint64)  # rarest first
+        rank = np.argsort(keys, kind="stable")
+        late = keys[rank]
+        heads = source.mapInArrow(_taken_in(k, percent, late, rank), "s long")
+    return late, rank
+
+
 def smallest_labels(edges: DataFrame) -> DataFrame:
     """(v, c): the smallest vertex that each vertex of the edges (a, b) reaches: labels spread to neighbours, then jump."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -167,11 +216,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     member = points.where("n > 0").select("doc_id", "point").join(several, "point")
     copies = written(member.where("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-members")
 
-    counted = points.select(F.explode("head").alias("s")).groupBy("s").count().where(F.col("count") >= OFTEN)
-    late = counted.orderBy(F.desc("count"), "s").limit(ORDER_BOUND).select("s").toPandas()["s"].to_numpy(np.int64)
-    late = np.sort(late.view(np.uint64))
-
-    rows = without(source.where("doc_id is not null"), copies.select("doc_id"), "doc_id").mapInArrow(_windows(k, percent, late), "pivot long, doc_id long, n long, place long")
+    first = without(source.where("doc_id is not null"), copies.select("doc_id"), "doc_id")
+    late, rank = pivot_order(points.select(F.explode("head").alias("s")), first, k, percent)
+    rows = first.mapInArrow(_windows(k, percent, late, rank), "pivot long, doc_id long, n long, place long")
     rows = written(rows, "jaccard-windows")
     shared = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("pivot")
     live = written(rows.join(shared, "pivot", "left_semi"), "jaccard-regions").withColumn("comp", F.col("doc_id"))
@@ -186,7 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         most = live.agg(F.max("m")).head()[0]
         if most is None:
             break
-        chosen = F.col("doc_id") == F.col("first.doc_id") if share == 1 else (F.col("u") * F.col("m") < share) & (F.col("u") * F.col("m") >= share // 4 * (share > 4))
+        chosen = F.col("doc_id") == F.col("first.doc_id") if share == 1 else (F.col("u") * F.col("m") < share) & (F.col("u") * F.col("m") >= share // WIDER * (share > WIDER))
         p = live.where(chosen).select("pivot", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"), F.col("u").alias("ub"))
         x = live.select("pivot", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"), F.col("u").alias("ua"))
         least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))  # shingles that a linked pair has in common
@@ -212,7 +259,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             labels = written(new, "jaccard-labels")
         if share >= most:
             break
-        share *= 4
+        share *= WIDER
 
     # only a document with a copy or a link needs its name looked up
     out = points.select("doc_id", F.col("n").alias("n_shingles")).join(copies.withColumnRenamed("rep", "point_id"), "doc_id", "left")
