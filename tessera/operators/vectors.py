@@ -1,7 +1,8 @@
 """Exact k-nearest-neighbour search by cosine: a stated query set against all rows, in blocks.
 
 The queries go out in blocks of at most `block` vectors, so what a task gets has a fixed bound; each task keeps the best
-k of its rows for each query, and one aggregation merges them.
+k of its rows for each query, in the order of the answer (rounded cosine, then vec_id), so any number of ties is settled
+exactly, and one aggregation merges them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries that a task compares with a batch at a time; what stands for the similarity of a row to itself, in millionths.
+SLICE, SELF = 512, -2_000_000
+
 
 def _unit(col: pa.Array, width: int) -> np.ndarray:
     v = np.array(col.to_pylist(), dtype=np.float64).reshape(-1, width)
@@ -20,16 +24,30 @@ def _unit(col: pa.Array, width: int) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
+def _best(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row of whole numbers; of equal ones the first columns."""
+    width = sim.shape[1]
+    if k >= width:
+        return np.tile(np.arange(width), (len(sim), 1))
+    return np.argpartition(np.arange(width) - sim * width, k - 1, axis=1)[:, :k]  # no two keys are equal
+
+
 def _near(ids: np.ndarray, q: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column("vec_id").to_numpy()
-            sim = q @ _unit(b.column("embedding"), q.shape[1]).T
-            sim[ids[:, None] == own[None, :]] = -2.0
-            keep = min(k + 16, len(own))  # ties at the edge are settled by id afterwards
-            at = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
-            row = np.repeat(np.arange(len(ids)), keep)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[row]), "vec_id": pa.array(own[at.ravel()]), "similarity": pa.array(sim[row, at.ravel()])})
+            order = np.argsort(own, kind="stable")
+            own, v = own[order], _unit(b.column("embedding"), q.shape[1])[order].T
+            for i in range(0, len(ids), SLICE):
+                some = ids[i : i + SLICE]
+                sim = q[i : i + SLICE] @ v * 1e6
+                sim = np.trunc(sim + np.copysign(0.5, sim)).astype(np.int64)  # as round(x, 6) of the SQL
+                sim[some[:, None] == own[None, :]] = SELF
+                at = _best(sim, k)
+                row = np.repeat(np.arange(len(some)), at.shape[1])
+                near = sim[row, at.ravel()]
+                use = near > SELF
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(some[row][use]), "vec_id": pa.array(own[at.ravel()][use]), "similarity": pa.array(near[use] / 1e6)})
 
     return run
 
@@ -47,6 +65,5 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Da
         found = near if found is None else found.unionByName(near)
     if found is None:
         found = vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity")).limit(0)
-    found = found.where("similarity > -2").withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
