@@ -147,7 +147,8 @@ SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(t, '\\b((?:19|20)[0-9]{2})\\b'
 """)
 def years_and_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("modelo "), (1850 + k % 300).cast("string"), F.lit(" $1")).alias("t"), (1390 + k % 800).cast("string").alias("code"), F.concat(F.lit("$"), (k % 5000).cast("string"), F.lit(","), (k % 90 + 10).cast("string")).alias("money"))
+    price = F.round("o_totalprice", 2).cast("decimal(38,2)").cast("string")  # never with an exponent; two decimals cannot be a year
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("modelo "), (1850 + k % 300).cast("string"), F.lit(" $"), price).alias("t"), (1390 + k % 800).cast("string").alias("code"), F.concat(F.lit("$"), (k % 5000).cast("string"), F.lit(","), (k % 90 + 10).cast("string")).alias("money"))
     return o.select("o_orderkey", T.first_year(F.col("t")).alias("first_year"), T.year_code(F.col("code")).alias("year_of_code"), T.parse_currency(F.col("money")).alias("amount"))
 
 
