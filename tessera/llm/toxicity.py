@@ -1,11 +1,13 @@
 """Toxicity: a lexicon learned from labels, a trie of it intersected with Levenshtein automata, and context windows.
 
 Lexicon. Words and stems (beginnings of words) that labelled toxic training texts hold far more often than clean ones.
-The texts are a bounded sample: at most SAMPLE of each label, those with the smallest hash of doc_id.
+The texts are a bounded sample: at most SAMPLE of each label, those with the smallest hash of doc_id. A rare term counts
+where chance cannot explain its counts (`unlikely`), however many terms share the toxic texts.
 
 Automaton. The trie of the lexicon is intersected with Levenshtein automata of the terms' own distances: none for stems
-and short terms, 1 from five letters, 2 from nine, the first letter fixed. A state is a set of (trie node, errors);
-states are made when first met, so a word is followed letter by letter and most are dead after two or three.
+and short terms, 1 from five letters, 2 from nine; the first letter may be wrong, missing or added as any other. The words
+of a stem are terms beside it, so that their misspellings match. A state is a set of (trie node, errors); states are made
+when first met, so a word is followed letter by letter and most are dead after a few.
 
 Context. A hit inside quotation marks, or beside a word of reporting, is a quotation and counts apart from abuse. The
 score is a logistic regression on the hits, misspelled hits and quoted hits of the whole text.
@@ -32,8 +34,9 @@ from .common import texts, without, written
 
 #: Bound of the training sample for each label, of the lexicon, and of the words a task remembers.
 SAMPLE, TERMS, CACHE = 10_000, 500, 500_000
-#: A term is in at least LEAST texts and SHARE of the toxic sample, and RATIO times as often there as in the clean sample.
-LEAST, SHARE, RATIO = 6, 0.03, 20.0
+#: A term is in at least LEAST toxic texts, RATIO times as often there as in the clean sample, and in SHARE of the toxic sample
+#: or so often that at most CHANCE terms of all would be by chance.
+LEAST, SHARE, RATIO, CHANCE = 6, 0.03, 20.0, 0.01
 STEM, STEM_MOST = 4, 6
 STRIP = ".,;:!?()[]{}<>|*&%$#@~_-=+/\\'\"`«»“”„‘’¡¿…"
 MARKS = "\"“”„«»"
@@ -54,7 +57,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(found: list[tuple[str, int, int]]) -> list[str]:
-    """Words and stems from (term, toxic, clean): a word stands for its stem where it makes up most of it."""
+    """Words and stems from (term, toxic, clean): a word stands for its stem where it makes up most of it, else both stay."""
     count = {t: a for t, a, _ in found}
     words = {t: a for t, a in count.items() if t[0] != "^"}
     out: set[str] = set()
@@ -66,15 +69,16 @@ def choose_terms(found: list[tuple[str, int, int]]) -> list[str]:
             out |= {w for w, n in own.items() if n >= 0.1 * a}
         else:
             longer = [t for t in count if t[0] == "^" and t.startswith(stem) and count[t] >= 0.95 * a]
-            out.add(max(longer, key=len))
+            out |= {max(longer, key=len), *own}
     out |= set(words) - covered
     return sorted(out, key=lambda t: (-count[t], t))[:TERMS]
 
 
 class Automaton:
-    """match(word): 0 no term, 1 a term, 2 a misspelled term."""
+    """match(word): 0 no term, 1 a term, 2 a misspelled term. fixed: whether the first letter must be right."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], fixed: bool = True):
+        self.fixed = fixed
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[dict] = [{}]
         self.most = [0]
@@ -97,7 +101,8 @@ class Automaton:
         self.moves: list[dict[str, int]] = []
         self.accepts: list[int] = []
         self.dead = self._state(frozenset())
-        self.start = self._state(frozenset({(0, 0)}))
+        self.start = self._state(frozenset({(0, 0)}) if fixed else self._close({(0, 0)}))
+        self._index(terms)
 
     def _state(self, s: frozenset) -> int:
         if s not in self.states:
@@ -130,7 +135,7 @@ class Automaton:
                     u = self.children[v].get(c)
                     if u is not None:
                         new.add((u, e))
-                    if v and e + 1 <= self.most[v]:
+                    if (v or not self.fixed) and e + 1 <= self.most[v]:
                         new.add((v, e + 1))
                         new |= {(w, e + 1) for w in self.children[v].values() if e + 1 <= self.most[w]}
                 closed = self._close(new)
@@ -140,7 +145,34 @@ class Automaton:
             self.moves[state][c] = known
         return known
 
+    def _index(self, terms: list[str]) -> None:
+        """Parts of terms of which a word within the distance has one as it is: of 1 + distance parts, one holds no error."""
+        self.exact = {t for t in terms if t[0] != "^"}
+        self.stems = {t[1:] for t in terms if t[0] == "^"}
+        self.parts: set[tuple[int, int, str]] = set()  # (word's length, place in the word, from its end if negative; part)
+        for t in self.exact:
+            most = 0 if len(t) < 5 else 1 if len(t) < 9 else 2
+            for n in range(len(t) - most, len(t) + most + 1) if most else ():
+                k = len(t) // (most + 1)
+                self.parts |= {(n, 0, t[:k]), (n, most * k - len(t), t[most * k :])}
+                self.parts |= {(n, k + i, t[k : 2 * k]) for i in (-1, 0, 1)} if most == 2 else set()
+        self.places: dict[int, list[tuple[int, int]]] = {}
+        for n, at, part in sorted(self.parts):
+            own = self.places.setdefault(n, [])
+            if (at, len(part)) not in own:
+                own.append((at, len(part)))
+        self.lengths = sorted({len(x) for x in self.stems})
+
+    def _near(self, word: str) -> bool:
+        n = len(word)
+        return any((n, at, word[at % n : at % n + k]) in self.parts for at, k in self.places.get(n, ()) if -n <= at < n)
+
     def match(self, word: str) -> int:
+        if not self.fixed:
+            if word in self.exact or any(word[:k] in self.stems for k in self.lengths):
+                return 1
+            if not self._near(word):
+                return 0
         state, dead = self.start, self.dead
         for c in word:
             state = self.step(state, c)
@@ -153,7 +185,7 @@ class Scanner:
     """hits(text): how many terms, misspelled terms and quoted terms a text holds, and its words."""
 
     def __init__(self, terms: list[str]):
-        self.automaton = Automaton(terms)
+        self.automaton = Automaton(terms, fixed=False)
         self.known: dict[str, int] = {}
 
     def code(self, word: str) -> int:
@@ -211,6 +243,14 @@ def _hits(terms: list[str]):
     return run
 
 
+def unlikely(toxic: Column, clean: Column, n_toxic: int, n_clean: int, terms: int) -> Column:
+    """Whether at most CHANCE of so many terms would be in that many toxic texts if labels were dealt at random: Chernoff's
+    bound of the binomial tail."""
+    both, p = toxic + clean, n_toxic / (n_toxic + n_clean)
+    part = lambda x, q: F.when(x > 0, x * F.log(x / (both * q))).otherwise(0.0)
+    return (toxic > both * p) & (part(toxic, p) + part(clean, 1 - p) >= math.log(max(1, terms) / CHANCE))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     """Learns lexicon and weights from at most `sample` labelled rows of each label among those where train holds."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -221,7 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
     if not (n.get(0) and n.get(1)):
         return Model([], np.array([-30.0, 0, 0, 0, 0, 0]))
     counts = rows.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = (F.col("toxic") >= max(LEAST, math.ceil(SHARE * n[1]))) & ((F.col("toxic") + 0.5) / (n[1] + 1) >= RATIO * (F.col("clean") + 0.5) / (n[0] + 1))
+    counts = written(counts.where(F.col("toxic") + F.col("clean") >= LEAST), "toxicity-terms")  # the others cannot be terms
+    common, rare = F.col("toxic") >= math.ceil(SHARE * n[1]), unlikely(F.col("toxic"), F.col("clean"), n[1], n[0], counts.count())
+    often = (F.col("toxic") >= LEAST) & (common | rare) & ((F.col("toxic") + 0.5) / (n[1] + 1) >= RATIO * (F.col("clean") + 0.5) / (n[0] + 1))
     terms = choose_terms([tuple(r) for r in counts.where(often).orderBy(F.desc("toxic"), "term").limit(20 * TERMS).collect()])
     h = rows.mapInArrow(_hits(terms), "toxic int, exact long, fuzzy long, quoted long, n long").toPandas()
     x, y = features(h[["exact", "fuzzy", "quoted", "n"]].to_numpy()), h["toxic"].to_numpy(float)

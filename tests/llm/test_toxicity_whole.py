@@ -1,0 +1,46 @@
+"""What a lexicon must not lose: errors in the first letter, misspelled words of a stem, and rare terms."""
+
+import random
+
+from tessera.llm import toxicity
+
+
+def letters(rng, n):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_errors_in_any_letter():
+    a = toxicity.Scanner(["idiot", "worthless", "scum"]).automaton
+    assert [a.match(w) for w in ("idiot", "xdiot", "diot", "xidiot", "rthless", "xxorthless", "xcum", "xxiot", "hless")] == [1, 2, 2, 2, 2, 2, 0, 0, 0]
+    rng = random.Random(6)
+    terms = ["".join(rng.choice("ab") for _ in range(n)) for n in (3, 5, 6, 9, 10)]
+    a = toxicity.Scanner(terms).automaton
+    for _ in range(3000):
+        w = "".join(rng.choice("ab") for _ in range(rng.randint(1, 12)))
+        near = [distance(w, t) for t in terms if distance(w, t) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+        assert a.match(w) == (0 if not near else 1 if min(near) == 0 else 2)
+
+
+def test_words_of_a_stem_stay():
+    terms = toxicity.choose_terms([("^lowe", 100, 0), ("lowering", 50, 0), ("lowedown", 50, 0)])
+    assert "^lowe" in terms and toxicity.Scanner(terms).automaton.match("lwering") == 2
+
+
+def test_a_lexicon_of_rare_terms(spark):
+    rng = random.Random(7)
+    vocab, bad = [letters(rng, 6) for _ in range(300)], [letters(rng, 8) for _ in range(100)]
+    texts = [" ".join(rng.choices(vocab, k=8) + (rng.sample(bad, 2) if i % 2 else [])) for i in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, ~toxicity.fold(5, 0))
+    found = toxicity.Scanner(model.terms).automaton
+    assert sum(found.match(w) == 1 for w in bad) >= 95 and not any(found.match(w) == 1 for w in vocab)
