@@ -3,7 +3,7 @@
 A word's features are its affixes, its character n-grams and itself as an entry of the lexicon, hashed to DIMENSIONS
 weights for each language; transitions between neighbours' languages are learned with them. The model is fitted by
 gradient steps on the exact CRF likelihood over a bounded sample: at most SAMPLE documents of each language (smallest hash
-of doc_id), one run of TRAIN_WORDS words from each; half of the training chains join runs of two languages, so switching is
+of doc_id; fewer of each where there are more than LANGUAGES, so that the total is bounded and no language is left out), one run of TRAIN_WORDS words from each; half of the training chains join runs of two languages, so switching is
 seen. For prediction each whole text is cut into chains of CHAIN words (the last one shorter); forward-backward gives each
 word's distribution, and the text's language is the one with the largest mean over the words with a letter; that mean is
 the score.
@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 from .common import pieces, texts, written
 from .toxicity import fold
 
-#: Bounds: documents of each language in the sample, languages, weights for each language, words a task remembers.
+#: Bounds: documents of each language in the sample, fewer where there are more than LANGUAGES (their total is that of so many);
+#: weights for each language, words a task remembers. Every language is learned.
 SAMPLE, LANGUAGES, DIMENSIONS, CACHE = 1_500, 64, 1 << 15, 300_000
 CHAIN, TRAIN_WORDS, STEPS = 64, 24, 40
+#: Chains times languages that are worked on at a time.
+CELLS = 1 << 16
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,7 +97,7 @@ def emissions(features: list[list[int]], weights: np.ndarray) -> np.ndarray:
 
 def train(samples: list[tuple[str, str]], seed: int = 7) -> Crf:
     """A CRF from (text, language): Adagrad on the likelihood of all chains, STEPS times."""
-    languages = sorted({lang for _, lang in samples})[:LANGUAGES]
+    languages = sorted({lang for _, lang in samples})
     rng, k = np.random.default_rng(seed), len(languages)
     runs: dict[str, list[list[str]]] = {lang: [] for lang in languages}
     for text, lang in samples:
@@ -115,14 +118,20 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Crf:
     for i, (r, y) in enumerate(chains):
         ids[i, : len(r)], gold[i, : len(r)] = [at[w] for w in r], y[: len(r)]
     real = ids >= 0
-    truth = np.eye(k)[gold] * real[..., None]
-    seen = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
+    seen = np.zeros((k, k))
+    np.add.at(seen, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1.0)
+    block = max(1, CELLS // max(1, k))  # chains at a time: what they take does not grow with the languages
     w, t, gw, gt = np.zeros((DIMENSIONS, k)), np.zeros((k, k)), np.full((DIMENSIONS, k), 1e-6), np.full((k, k), 1e-6)
     for _ in range(STEPS):
         e = np.stack([np.bincount(row, w[col, j], minlength=len(words)) for j in range(k)], axis=1) * scale[:, None]
-        p, pairs = forward_backward(np.where(real[..., None], e[ids], 0.0), real, t, with_pairs=True)
-        diff = (truth - p) * real[..., None]
-        by_word = np.stack([np.bincount(ids[real], diff[..., j][real], minlength=len(words)) for j in range(k)], axis=1) * scale[:, None]
+        by_word, pairs = np.zeros((len(words), k)), np.zeros((k, k))
+        for i in range(0, len(chains), block):
+            use, at_word, label = real[i : i + block], ids[i : i + block], gold[i : i + block]
+            p, found = forward_backward(np.where(use[..., None], e[at_word], 0.0), use, t, with_pairs=True)
+            diff = (np.eye(k)[label] - p) * use[..., None]
+            by_word += np.stack([np.bincount(at_word[use], diff[..., j][use], minlength=len(words)) for j in range(k)], axis=1)
+            pairs += found
+        by_word *= scale[:, None]
         grad = np.stack([np.bincount(col, by_word[row, j], minlength=DIMENSIONS) for j in range(k)], axis=1) - 1e-3 * w
         gw += grad**2
         w += 0.5 * grad / np.sqrt(gw)
@@ -140,8 +149,10 @@ def fit(docs: DataFrame, train_rows: Column, sample: int = SAMPLE) -> Crf:
     # each partition offers `sample` ids of each language at most, so no language meets in one task as a whole
     offered = known.withColumn("part", F.spark_partition_id()).withColumn("h", F.xxhash64("doc_id"))
     offered = offered.withColumn("r", F.row_number().over(Window.partitionBy("part", "lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample)
-    picked = offered.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample).select("doc_id", "lang")
-    picked = written(picked.limit(sample * LANGUAGES), "language-sample")
+    picked = offered.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample).select("doc_id", "lang", "r")
+    picked = written(picked, "language-offers")
+    each = max(1, min(sample, sample * LANGUAGES // max(1, picked.select("lang").distinct().count())))
+    picked = written(picked.where(F.col("r") <= each).select("doc_id", "lang"), "language-sample")
     rows = texts(docs).join(F.broadcast(picked), "doc_id").where("length(text) > 0")
     pick = F.slice(F.split(F.trim("text"), r"\s+"), F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size(F.split(F.trim("text"), r"\s+")) - 2 * TRAIN_WORDS)).cast("int"), 2 * TRAIN_WORDS)
     found = rows.select(F.array_join(pick, " ").alias("t"), "lang", "doc_id").orderBy("doc_id", "lang", "t").collect()
@@ -179,8 +190,9 @@ class Labeller:
         place = np.arange(len(ids)) - begin[text]
         chain, at = first[text] + place // CHAIN, place % CHAIN
         out = np.empty((len(ids), len(self.model.languages)))
-        order = np.searchsorted(chain, np.arange(0, int(chains.sum()) + 4096, 4096))
-        for a, b in zip(order[:-1], order[1:], strict=True):  # 4096 chains at a time
+        size = max(1, min(4096, CELLS // max(1, out.shape[1])))
+        order = np.searchsorted(chain, np.arange(0, int(chains.sum()) + size, size))
+        for a, b in zip(order[:-1], order[1:], strict=True):  # at most 4096 chains at a time
             if a == b:
                 continue
             c, n = chain[a:b] - chain[a], int(chain[b - 1] - chain[a]) + 1
