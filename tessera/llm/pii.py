@@ -1,7 +1,8 @@
 """Personal data in texts, with DataFrame functions alone: regular expressions propose, checksums confirm, context scores.
 
 For each kind the text is split at the pattern, so the lengths of the gaps and of the matches give every match's place in
-code points. Cards must pass Luhn, IBANs mod 97, IP parts must be at most 255, phones need 9 to 15 digits. A span's score
+code points. Cards must pass Luhn, IBANs mod 97 (an IBAN's pattern takes its first
+four characters and looks ahead; the span is the longest part from there to the end of a word that passes), IP parts must be at most 255, phones need 9 to 15 digits. A span's score
 starts at its kind's and gains where one of the kind's context words stands within WINDOW characters before or behind it.
 Spans of the base kinds always stay; a kind of the method's own (iban, ssn) stays where its score reaches THRESHOLD: an
 IBAN by its checksum, a social security number by its context alone. The patterns cannot backtrack into long runs
@@ -37,7 +38,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, ("ip", "host", "server", "address", "dirección", "adresse")),
     Kind("card", r"[0-9](?:[ -]?[0-9]){12,}+", 0.7, ("card", "visa", "credit", "tarjeta", "carte", "karte", "payment")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, ("phone", "call", "tel", "mobile", "fax", "teléfono", "telefon", "téléphone")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.6, ("iban", "account", "konto", "cuenta", "compte", "bank"), base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", 0.6, ("iban", "account", "konto", "cuenta", "compte", "bank"), base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, ("ssn", "social", "security", "taxpayer"), base=False),
 )
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -58,6 +59,16 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def longest_iban(head: Column, tail: Column) -> Column:
+    """The longest part of head and tail that ends at the end of a word and is an IBAN, or null. A tail has one character
+    more where its last word goes on, which makes that word too long or of the wrong case."""
+    words = F.split(F.concat(head, tail), " ")
+    parts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    valid = F.filter(parts, lambda c: bare(c).rlike("^[A-Z0-9]{15,34}$") & mod97(bare(c)))
+    return F.try_element_at(valid, F.lit(-1))
+
+
 def confirmed(kind: str, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "ip":
@@ -66,9 +77,6 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(13, 19) & luhn(digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        bare = F.replace(match, F.lit(" "), F.lit(""))
-        return F.length(bare).between(15, 34) & mod97(bare)
     return F.lit(True)
 
 
@@ -79,7 +87,10 @@ def find(kind: Kind, text: Column) -> Column:
     words = "|".join(kind.context)
 
     # matches and gaps are worked out once, as the only element of an array
-    both = F.array(F.struct(matches.alias("m"), gaps.alias("g")))
+    tails = [F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)).alias("t")] if kind.name == "iban" else []
+    both = F.array(F.struct(matches.alias("m"), gaps.alias("g"), *tails))
+    if tails:
+        return F.when(text.rlike(kind.pattern), F.element_at(F.transform(both, lambda x: iban_spans(kind, x, empty)), 1)).otherwise(empty)
 
     def spans(x: Column) -> Column:
         def bound(acc: Column, i: Column) -> Column:
@@ -98,6 +109,28 @@ def find(kind: Kind, text: Column) -> Column:
     return F.when(text.rlike(kind.pattern), F.element_at(F.transform(both, spans), 1)).otherwise(empty)
 
 
+def iban_spans(kind: Kind, x: Column, empty: Column) -> Column:
+    """The spans of IBANs from the heads m, what may follow them t, and the gaps g; a span within an earlier one is none."""
+    words = "|".join(kind.context)
+
+    def span(i: Column, start: Column, found: Column) -> Column:
+        over = F.length(found) - F.length(F.element_at(x["m"], i))  # of the gap behind, what the span takes
+        near = F.lower(F.concat(F.right(F.element_at(x["g"], i), F.lit(WINDOW)), F.lit(" "), F.substr(F.element_at(x["g"], i + 1), over + 1, F.lit(WINDOW))))
+        score = F.lit(kind.score) + F.when(near.rlike(rf"(?<![\p{{L}}])(?:{words})"), F.lit(GAIN)).otherwise(F.lit(0.0))
+        return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), score.alias("score"))
+
+    def bound(acc: Column, i: Column) -> Column:
+        head = F.element_at(x["m"], i)
+        start = acc["pos"] + F.length(F.element_at(x["g"], i))
+        found = longest_iban(head, F.element_at(x["t"], i))
+        ok = found.isNotNull() & (start >= acc["free"])
+        own = F.when(ok, F.array(span(i, start, found))).otherwise(empty)
+        return F.struct((start + F.length(head)).alias("pos"), F.when(ok, start + F.length(found)).otherwise(acc["free"]).alias("free"), F.concat(acc["out"], own).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("free"), empty.alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(x["m"])), zero, bound, lambda acc: acc["out"])
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, and for each kind the array `<kind>_spans` of (start, end, score)."""
     return texts(docs).select("doc_id", *[find(k, F.col("text")).alias(f"{k.name}_spans") for k in KINDS])
