@@ -2,7 +2,7 @@
 
 Defined cases: a null or empty text and a text of white space have no ids and decode to the empty text; the strings of
 special tokens in a text become their ids; repeated rows give their own rows; a null doc_id is kept; other columns are
-ignored; an empty table gives no rows. A very long text is encoded chunk by chunk.
+ignored; an empty table gives no rows. A very long text is a piece of its own.
 """
 
 from __future__ import annotations
@@ -10,34 +10,31 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pieces, texts
-from .tokenizer import worker_bpe
+from .tokenizer import PIECE, worker_bpe
 
 VOCABULARY = "word_bpe_49k.json"
 
 
 def _encode(vocabulary: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(public_tokenizers.path(vocabulary))
-        for batch in (p for b in batches for p in pieces(b, "text")):
-            n, ids, back = [], [], []
-            for text in batch.column("text"):
-                count, joined, strings = bpe.encoded(text.as_py())
-                n.append(count)
-                if digests:
-                    # the strings are those of decode(ids): tokens and their ids map one to one
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    back.append(hashlib.sha256(strings.encode()).hexdigest())
-                else:
-                    ids.append([int(x) for x in joined.split()])
-                    back.append(strings)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), names[0]: pa.array(ids, kind), names[1]: pa.array(back, pa.string())})
+        _, coder, decimals, strings = worker_bpe(public_tokenizers.path(vocabulary))
+        for batch in (p for b in batches for p in pieces(b, "text", PIECE)):
+            ids, bounds = coder.ids(batch.column("text"))
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(bounds))}
+            back = strings.joined(ids, bounds)  # decode() of the ids
+            if digests:
+                out["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in decimals.joined(ids, bounds)], pa.string())
+                out["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())
+            else:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                out["decoded"] = pa.array([str(x, "utf-8") for x in back], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 

@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 #: Ids that a join may broadcast: 2 million longs, some 32 MB on each executor. Above it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new temporary folder if the
+    driver is the only machine, else one in the warehouse, which is shared too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -36,7 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -44,6 +53,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text, key) of every row, and whether key is doc_id: it is where that is unique and never null. Else the rows
+    are sorted by doc_id (null first), the text's hash and number among equals, and written with their place as the key."""
+    source = texts(docs)
+    if source.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return source.withColumn("key", F.col("doc_id")), True
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = ["doc_id", "hash", "number"]
+    order = source.withColumn("hash", F.sha2("text", 256)).withColumn("number", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return written(order.select("doc_id", "text", F.monotonically_increasing_id().alias("key")), "keys"), False
+
+
 def only(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
     """The rows of df whose key is in ids: ids are counted, and broadcast up to limit, else shuffled."""
     n = ids.count()
@@ -122,9 +143,10 @@ def _cut(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray, at: int) -> int:
     return last
 
 
-def spans(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACES, table: np.ndarray = FOLDED, size: int = 1 << 20):
+def spans(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACES, table: np.ndarray = FOLDED, size: int = 1 << 20, kinds: np.ndarray | None = None):
     """Maximal runs of non-separator bytes within the rows: (start, end, 64-bit hash). Works through slices of
-    about `size` bytes, so temporary memory doesn't depend on the batch or the length of a text."""
+    about `size` bytes, so temporary memory doesn't depend on the batch or the length of a text. With kinds, runs are cut
+    between two bytes of different kinds above 0, and between two bytes of kind 3."""
     starts, ends, hashes = [], [], []
     a, stop = int(bounds[0]), int(bounds[-1])
     while a < stop:
@@ -135,6 +157,11 @@ def spans(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACES, table:
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
+        if kinds is not None:
+            k = kinds[d]
+            apart = (k[1:] > 0) & (k[:-1] > 0) & ((k[1:] != k[:-1]) | (k[1:] == 3))
+            first[1:] |= apart
+            last[:-1] |= apart
         cut = bounds[np.searchsorted(bounds, a, "right") : np.searchsorted(bounds, b, "left")] - a
         cut = cut[(cut > 0) & (cut < len(d))]
         first[cut] = inside[cut]

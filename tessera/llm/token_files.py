@@ -4,7 +4,8 @@ Texts are dealt out by ranges of doc_id (rows of equal doc_id by a hash of the t
 one range), sorted, encoded by the tokenizers library and written. Each row holds doc_id, part, local_start (ids of the
 documents before it in its part), n_tokens and ids; so metadata is read without the ids, and some documents' ids are read
 by pushing a doc_id filter down to row groups and pages. White space is never inside a token of this vocabulary, so each
-Python worker lets the library encode a chunk without white space once, remembers it while in use, and joins the ids.
+Python worker lets the library's merges encode each chunk between white space and certain cuts once, remembers it while in
+use, and gathers the ids (see tokenizer.py).
 
 Defined cases: null and empty texts hold the end id alone; repeated rows are written again, next to each other; a null
 doc_id comes first; other columns are ignored; an empty table gives no rows.
@@ -13,66 +14,38 @@ doc_id comes first; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .common import pieces, scratch, texts
-from .tokenizer import ODD, ForcedBoundaryBpe, Memory, worker_bpe
+from .tokenizer import PIECE, worker_bpe
 
-#: REMEMBERED: chunks whose ids a worker holds, some 200 bytes each.
-END, REMEMBERED = 2, 450_000
+END = 2
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
-_WORKER: dict[str, tuple] = {}
-
-
-def _library(vocabulary: str) -> tuple[Tokenizer, ForcedBoundaryBpe, Memory]:
-    """This Python worker's tokenizer, the splitting of chunks into words, and what it remembers from earlier tasks."""
-    if vocabulary not in _WORKER:
-        path = public_tokenizers.path(vocabulary)
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _WORKER[vocabulary] = t, worker_bpe(path), Memory(REMEMBERED)
-    return _WORKER[vocabulary]
-
-
 def _encode(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, words, memory = _library(vocabulary)
-        special, model = list(words.special), tokenizer.model
-        part, start, last = TaskContext.get().partitionId(), 0, np.array([end], "<i4").tobytes()
-
-        def raw(ids: list[int]) -> bytes:
-            return array("i", ids).tobytes()
-
-        for batch in (p for b in batches for p in pieces(b, "text")):
-            split = [None if any(x in t for x in special) else regex.split(r"\s+", t) if ODD.search(t) else t.split() for t in batch.column("text").to_pylist()]
-            own = {c: memory.get(c) for c in {c for s in split if s for c in s}}
-            if new := [c for c, v in own.items() if v is None]:
-                for c in new:  # the library's merges on each word
-                    own[c] = raw([t.id for w in words.split(c) for t in model.tokenize(w)])
-                    memory.put(c, own[c])
-            begin, count, blobs = [], [], []
-            for text, chunks in zip(batch.column("text"), split, strict=True):
-                blob = raw(tokenizer.encode(text.as_py(), add_special_tokens=False).ids) if chunks is None else b"".join([own[c] for c in chunks])
-                blobs.append(blob + last)
-                begin.append(start)
-                count.append(len(blobs[-1]) // 4)
-                start += count[-1]
-            flat = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "part": pa.array([part] * len(count), pa.int32()), "local_start": pa.array(begin, pa.int64()), "n_tokens": pa.array(count, pa.int64()), "ids": ids})
+        coder, part, start = worker_bpe(public_tokenizers.path(vocabulary))[1], TaskContext.get().partitionId(), 0
+        for batch in (p for b in batches for p in pieces(b, "text", PIECE)):
+            ids, bounds = coder.ids(batch.column("text"))
+            count, rows = np.diff(bounds) + 1, len(bounds) - 1
+            upto = np.concatenate([[0], np.cumsum(count)])
+            flat = np.full(int(upto[-1]), end, np.int32)
+            last = np.zeros(len(flat), bool)
+            last[upto[1:] - 1] = True
+            flat[~last] = ids
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "part": pa.array(np.full(rows, part, np.int32)), "local_start": pa.array(start + upto[:-1]),
+                "n_tokens": pa.array(count), "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat)),
+            })
+            start += int(upto[-1])
 
     return run
 
