@@ -13,14 +13,19 @@ distance 1 from each other, so documents as first pivots would tell nothing apar
   stays in a window that rarer shingles can fill.
 * Regions join recursively. In each region documents become pivots: one at first, then WIDER times as many in each round,
   until all have been or the whole region is one component. Documents compare with a pivot of another component only:
-  by size, by the bounds that the places in the windows and PARITY bits of each set give, then exactly on the full sets. Documents that link to a
-  pivot join its component at once, so a group of near copies costs a few comparisons a member, not all pairs.
+  by size, by the windows that their places leave, by PARITY bits of each set, then exactly on the full sets. Documents that
+  link to a pivot join its component at once, so a group of near copies costs a few comparisons a member, not all pairs.
+* Windows again. A pair that links meets in the region of its first common shingle, too. There neither holds what the other
+  has before it, so d(A, B) is at least what remains from that place on allows: a pair is compared only where both have as
+  many shingles from the place on as linked sets have in common. This leaves out documents of a hot region that resemble each other
+  in its frequent part but differ in rarer shingles before it, before a pair of them exists.
 
 Documents with equal sets are one point of the space and are joined once.
 
 Defined cases: a null or empty text and a text without words have n_shingles 0, link with nothing and are components of
-their own; texts of one to k-1 words have one shingle, the whole sequence; repeated rows are equal sets; a null doc_id
-counts as a document but never names a component unless alone; other columns are ignored; an empty table gives no rows.
+their own; texts of one to k-1 words have one shingle, the whole sequence; each row is a document, also where doc_ids repeat
+or rows are equal; a null doc_id names a component only where it has no other; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, mix, only, pieces, shingles, texts, without, words, written
+from .common import STEP, discard, keyed, mix, only, pieces, shingles, without, words, written
 
 #: Shingles that lie in at least OFTEN windows come last in the order of pivots; at most ORDER_BOUND of them, the most frequent.
 OFTEN, ORDER_BOUND = 16, 1 << 18
@@ -41,8 +46,9 @@ OFTEN, ORDER_BOUND = 16, 1 << 18
 ORDER_ROUNDS, AHEAD = 1, 4
 #: Growth of the number of pivots from round to round.
 WIDER = 16
-#: Bits that bound how much two sets differ.
-PARITY = 1024
+#: Bits that bound how much two sets differ; those that the rows of a region hold, as longs, before a pair exists.
+PARITY, ROW_BITS = 1024, 128
+SIGNS = [f"w{i}" for i in range(ROW_BITS // 64)]
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -67,10 +73,10 @@ def window_size(n, percent: int):
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
-def parity(x: np.ndarray) -> bytes:
-    """PARITY bits: bit i is set where an odd number of shingle hashes fall on it. Two sets' bits differ in at most as many places
-    as the sets differ in members."""
-    return np.packbits((np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes()
+def parity(x: np.ndarray, bits: int = PARITY) -> bytes:
+    """Bit i is set where an odd number of shingle hashes fall on it. Two sets' bits differ in at most as many places as the
+    sets differ in members."""
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
 def _close(percent: int):
@@ -95,8 +101,9 @@ def _signatures(k: int, percent: int):
                 size = window_size(n, percent)
                 heads = [x[:p] for x, p in zip(sets, size, strict=True)]
                 flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+                signs = np.frombuffer(b"".join(parity(x, ROW_BITS) for x in sets), np.int64).reshape(len(sets), len(SIGNS))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column("doc_id"), "n": pa.array(n), "bits": pa.array([parity(x) for x in sets], pa.binary()), "point": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                    **{w: pa.array(signs[:, i]) for i, w in enumerate(SIGNS)}, "doc_id": b.column("doc_id"), "n": pa.array(n), "bits": pa.array([parity(x) for x in sets], pa.binary()), "point": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                     "head": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.view(np.int64))),
                 })
 
@@ -209,45 +216,50 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    source = texts(docs)
-    points = written(source.mapInArrow(_signatures(k, percent), "doc_id long, n long, bits binary, point binary, head array<long>"), "jaccard-points")
+    rows, plain = keyed(docs)
+    source = rows.select(F.col("key").alias("doc_id"), "text")
+    points = written(source.mapInArrow(_signatures(k, percent), ", ".join(f"{w} long" for w in SIGNS) + ", doc_id long, n long, bits binary, point binary, head array<long>"), "jaccard-points")
     groups = points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     several = written(groups.where("copies > 1").select("point", "rep"), "jaccard-copies")
     member = points.where("n > 0").select("doc_id", "point").join(several, "point")
     copies = written(member.where("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-members")
 
-    first = without(source.where("doc_id is not null"), copies.select("doc_id"), "doc_id")
+    first = without(source, copies.select("doc_id"), "doc_id")
     late, rank = pivot_order(points.select(F.explode("head").alias("s")), first, k, percent)
-    rows = first.mapInArrow(_windows(k, percent, late, rank), "pivot long, doc_id long, n long, place long")
-    rows = written(rows, "jaccard-windows")
-    shared = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("pivot")
-    live = written(rows.join(shared, "pivot", "left_semi"), "jaccard-regions").withColumn("comp", F.col("doc_id"))
-    labels = None
+    windows = written(first.mapInArrow(_windows(k, percent, late, rank), "pivot long, doc_id long, n long, place long"), "jaccard-windows")
+    shared = windows.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("pivot")
+    stored = written(windows.join(shared, "pivot", "left_semi").join(points.select("doc_id", *SIGNS), "doc_id"), "jaccard-regions")
+    discard(windows)
+    live, labels = stored.withColumn("comp", F.col("doc_id")), None
     draw = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("u")
-    share = 1
+    share, done = 1, 0
     while True:
         own = live.drop("comp") if labels is None else live.drop("comp", "m", "first", "u").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left")
-        own = own.withColumn("comp", F.coalesce("c", "doc_id") if labels is not None else F.col("doc_id")).select("pivot", "doc_id", "n", "place", "comp", draw)
-        mixed = own.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("u", "doc_id")).alias("first")).where("lo <> hi").select("pivot", "m", "first")
-        live = written(own.join(mixed, "pivot"), "jaccard-live")
+        own = own.withColumn("comp", F.coalesce("c", "doc_id") if labels is not None else F.col("doc_id")).select("pivot", "doc_id", "n", "place", *SIGNS, "comp", draw)
+        mixed = own.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("u", "doc_id")).alias("first")).where((F.col("lo") != F.col("hi")) & (F.col("m") > done)).select("pivot", "m", "first")  # in smaller ones all were pivots
+        before, stored = stored, written(own.join(mixed, "pivot"), "jaccard-live")
+        discard(before)
+        live = stored
         most = live.agg(F.max("m")).head()[0]
         if most is None:
             break
         chosen = F.col("doc_id") == F.col("first.doc_id") if share == 1 else (F.col("u") * F.col("m") < share) & (F.col("u") * F.col("m") >= share // WIDER * (share > WIDER))
-        p = live.where(chosen).select("pivot", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"), F.col("u").alias("ub"))
-        x = live.select("pivot", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"), F.col("u").alias("ua"))
+        p = live.where(chosen).select("pivot", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"), F.col("u").alias("ub"), *(F.col(w).alias(f"{w}b") for w in SIGNS))
+        x = live.select("pivot", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"), F.col("u").alias("ua"), *(F.col(w).alias(f"{w}a") for w in SIGNS))
         least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))  # shingles that a linked pair has in common
         near = (F.col("ca") != F.col("cb")) & ((F.col("ub") < F.col("ua")) | ((F.col("ub") == F.col("ua")) & (F.col("b") < F.col("a"))))
-        near &= (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
-        pairs = written(x.join(p, "pivot").where(near).select("a", "b").distinct(), "jaccard-pairs")
+        near &= (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
+        near &= (100 + percent) * sum(F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in SIGNS) <= (100 - percent) * (F.col("na") + F.col("nb"))
+        met = written(x.join(p, "pivot").where(near).select("a", "b").distinct(), "jaccard-pairs")
         bits = points.where("n > 0").select("doc_id", "n", "bits")
-        near = pairs.join(bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ys")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xs")), "a")
+        near = met.join(bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ys")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xs")), "a")
         pairs = written(near.select("a", "b", "na", "nb", "xs", "ys").mapInArrow(_close(percent), "a long, b long"), "jaccard-close")
         # the texts of the documents in this round's pairs alone: smaller than their sets, which each task makes for itself
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-paired")
         some = only(source, ids, "doc_id")
         full = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("ys")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("xs")), "a")
         links = written(full.select("a", "b", "xs", "ys").mapInArrow(_linked(k, percent), "a long, b long"), "jaccard-links")
+        discard(met, pairs, ids)
         if labels is not None:
             name = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c)).alias(c)
             links = links.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left").select(name("a"), name("b")).distinct()
@@ -259,14 +271,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             labels = written(new, "jaccard-labels")
         if share >= most:
             break
-        share *= WIDER
+        share, done = share * WIDER, share
 
     # only a document with a copy or a link needs its name looked up
     out = points.select("doc_id", F.col("n").alias("n_shingles")).join(copies.withColumnRenamed("rep", "point_id"), "doc_id", "left")
     out = out.withColumn("point_id", F.coalesce("point_id", "doc_id"))
     if labels is not None:
         out = out.join(labels.select(F.col("v").alias("point_id"), "c"), "point_id", "left").withColumn("point_id", F.coalesce("c", "point_id"))
-    return out.select("doc_id", "n_shingles", F.col("point_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.col("point_id").alias("component_id"))
+    if plain:
+        return out
+    out = written(out.withColumnsRenamed({"doc_id": "key", "component_id": "component"}).join(rows.select("doc_id", "key"), "key"), "jaccard-keys")
+    return out.join(out.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "n_shingles", "component_id")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

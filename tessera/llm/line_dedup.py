@@ -27,19 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import EXACT, NEWLINES, SPACES, buffers, only, pieces, scratch, spans, texts, written
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, key) of every row: key is unique and in order of doc_id (null first), text's hash, number among equals.
-    It is doc_id where that is unique and never null; else the rows are sorted and written with a number."""
-    source = texts(docs)
-    if source.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        return source.withColumn("key", F.col("doc_id"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by = ["doc_id", "hash", "number"]
-    order = source.withColumn("hash", F.sha2("text", 256)).withColumn("number", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    return written(order.select("doc_id", "text", F.monotonically_increasing_id().alias("key")), "line-keys")
+from .common import EXACT, NEWLINES, SPACES, buffers, keyed, only, pieces, scratch, spans, texts, written
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +100,12 @@ def _repeated(rows: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, key, line) of each line to delete; key tells rows of one doc_id apart (see keyed)."""
-    rows = keyed(docs)
+    rows, _ = keyed(docs)
     return rows.select("doc_id", "key").join(_repeated(rows, min_words), "key").select("doc_id", "key", "line")
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (p for batch in batches for p in pieces(batch, "text")):
         out = []
         for text, drop in zip(b.column("text").to_pylist(), b.column("lines").to_pylist(), strict=True):
             gone, i, kept = set(drop or ()), 0, []
@@ -134,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, text without later copies of repeated runs, n_removed, of every input row."""
     from .common import without
 
-    source = keyed(docs)
+    source, _ = keyed(docs)
     drop = written(_repeated(source, min_words).groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("lines")), "line-drops")  # lines of one text
     ids = drop.select("key")
     changed = only(source, ids, "key").join(drop, "key").select("doc_id", "text", "lines").mapInArrow(_clean, "doc_id long, text string, n_removed long")
