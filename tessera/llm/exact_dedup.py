@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, scratch, texts, written
+from .common import only, pieces, scratch, texts, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,7 +48,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 def _folder(digest_bytes: int, with_text: bool):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in pieces(batch, "text")):
             folded = [x.encode().lower() for x in b.column("text").to_pylist()]  # bytes.lower() changes A-Z alone
             digest = [hashlib.sha256(x).digest() for x in folded]
             cols = {"doc_id": b.column("doc_id"), "digest": pa.array([d[:digest_bytes] for d in digest], pa.binary()), "sha256": pa.array([d.hex() for d in digest])}

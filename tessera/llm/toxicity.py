@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts, without, written
+from .common import pieces, texts, without, written
 
 #: Bound of the training sample for each label, of the lexicon, and of the words a task remembers.
 SAMPLE, TERMS, CACHE = 10_000, 500, 500_000
@@ -43,7 +43,7 @@ WINDOW = 3
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic texts with it, clean texts with it) of each batch; a stem begins with ^."""
-    for b in batches:
+    for b in (p for batch in batches for p in pieces(batch, "text")):
         counts = (Counter(), Counter())
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             own = {w.strip(STRIP) for w in text.lower().split()}
@@ -204,7 +204,7 @@ class Model:
 def _hits(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(terms)
-        for b in batches:
+        for b in (p for batch in batches for p in pieces(batch, "text")):
             h = np.array([scanner.hits(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), **{c: pa.array(h[:, i]) for i, c in enumerate(("exact", "fuzzy", "quoted", "n"))}})
 
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model.terms)
-        for b in batches:
+        for b in (p for batch in batches for p in pieces(batch, "text")):
             h = np.array([scanner.hits(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(model.scores(h)), "n_exact": pa.array(h[:, 0]), "n_fuzzy": pa.array(h[:, 1]), "n_quoted": pa.array(h[:, 2])})
 
