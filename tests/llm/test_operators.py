@@ -165,35 +165,6 @@ def test_language(spark):
     assert [got[i] for i in range(60)] == ["en", "de"] * 30 and got[60] == got[61] == got[62] == "und"
 
 
-def test_katz(spark):
-    texts = corpus(30)
-    got = {r.doc_id: r for r in katz.score(docs(spark, texts), toxicity.fold(7, 2)).collect()}
-    toks = [[*words(t), "</s>"] for t in texts]
-    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    c = Counter(w for t, h in zip(toks, held, strict=True) if not h for w in t)
-    b = Counter(p for t, h in zip(toks, held, strict=True) if not h for p in zip(["<s>", *t[:-1]], t))
-    n, v = sum(c.values()), len(c)
-    d1, d2 = (katz.discounts(Counter(x.values())) for x in (c, b))
-    dis = lambda r, d: d[r - 1] * r if r <= katz.CUT else r
-    p = {w: dis(r, d1) / n for w, r in c.items()}
-    unknown = 1 - sum(p.values())
-    after = defaultdict(list)
-    for (h, w), r in b.items():
-        after[h].append((w, r))
-    below, alpha = {}, {}
-    for h, l in after.items():
-        total, kept = sum(r for _, r in l), sum(dis(r, d2) for _, r in l)
-        below[h] = total if kept < total - 1e-9 else total + 1
-        alpha[h] = (1 - kept / below[h]) / (1 - sum(p[w] for w, _ in l))
-        mass = kept / below[h] + alpha[h] * (unknown + sum(q for w, q in p.items() if (h, w) not in b))
-        assert abs(mass - 1) < 1e-9  # exactly normalised
-    for i, t in enumerate(toks):
-        s = sum(math.log10(dis(b[h, w], d2) / below[h]) if (h, w) in b else math.log10(alpha.get(h, 1)) + math.log10(p.get(w, unknown)) for h, w in zip(["<s>", *t[:-1]], t))
-        r = got[i]
-        assert abs(r.score - s) < 1e-8 and abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-8
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, held[i])
-
-
 def test_line_dedup(spark):
     rng = random.Random(5)
     lines = [" ".join(f"x{rng.randint(0, 99)}" for _ in range(rng.randint(1, 5))) for _ in range(12)]
