@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Ids that a join may broadcast: 2 million longs, some 32 MB on each executor. Above it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Bytes of an Arrow batch. Texts are long: at Spark's own 64 MB and 10,000 rows two tasks of an executor take hundreds of MB.
+BATCH, SPARK_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m"), ("67108864b", "64m", "64MB")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +51,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id long, text string) of any documents table; a null text is an empty one."""
+    """(doc_id long, text string) of any documents table; a null text is an empty one. Python tasks get it in batches of
+    some 8 MB, unless the session has a bound of its own."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH[0], SPARK_BATCH[0]) in SPARK_BATCH:
+        conf.set(*BATCH)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

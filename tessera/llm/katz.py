@@ -38,7 +38,7 @@ from .toxicity import fold
 CUT = 5
 BEGIN, END = np.uint64(0x5EED_BE61), np.uint64(0x5EED_0E2D)
 #: Words that go by rank; bigrams of a bucket, and of a context before it is spread; texts of a block; bigrams that a task packs at a time.
-HEAD, BUCKET, BLOCK, FLUSH = 1 << 19, 1 << 18, 1 << 12, 1 << 20
+HEAD, BUCKET, BLOCK, FLUSH = 1 << 19, 1 << 18, 1 << 12, 1 << 19
 #: Bits of a rank, and of a hash that find a word in the head.
 RANK_BITS, FIND_BITS = 20, 21
 #: The sign bit marks a word by its hash, not its rank.
@@ -161,7 +161,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return tok[order][at], np.add.reduceat(c[order], at) if len(at) else c
 
     own, n = [], 0
-    for b in (p for batch in batches for p in pieces(batch, "text")):
+    for b in (p for batch in batches for p in pieces(batch, "text", 2 << 20)):
         text, _, tok = _tokens(b)
         own.append(np.unique(tok[~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[text]], return_counts=True))
         n += len(own[-1][0])
@@ -182,7 +182,7 @@ def _stats(head: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = head.value
         value = np.append(np.rint(u.base(u.count) * UNIT), 0.0)  # the others' counts come by their join
-        for b in (p for batch in batches for p in pieces(batch, "text")):
+        for b in (p for batch in batches for p in pieces(batch, "text", 2 << 20)):
             text, _, tok = _tokens(b)
             ids = u.ids(tok)
             sums = [np.bincount(text, x, b.num_rows) for x in (None, ids >= 0, value[np.maximum(ids, -1)])]
@@ -216,7 +216,7 @@ def _rare(head: Broadcast):
     """The bigrams whose token is outside the head, as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for batch in batches for p in pieces(batch, "text")):
+        for b in (p for batch in batches for p in pieces(batch, "text", 2 << 20)):
             yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in zip(("h", "w", "key", "n"), _entries(b, head.value, True), strict=True)})
 
     return run

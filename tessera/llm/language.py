@@ -15,7 +15,6 @@ columns are ignored; an empty table gives no rows. Very long texts are handled c
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,13 +33,12 @@ SAMPLE, LANGUAGES, DIMENSIONS, CACHE = 1_500, 64, 1 << 15, 300_000
 CHAIN, TRAIN_WORDS, STEPS = 64, 24, 40
 #: Chains times languages that are worked on at a time.
 CELLS = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def word_features(word: str) -> list[int]:
     """Hashed features of a word, none for one without a letter."""
     w = word.lower().strip(".,;:!?\"'()[]|*&%$#")
-    if not LETTER.search(w):
+    if not (w.isalpha() or any(map(str.isalpha, w))):
         return []
     b, mask = f"<{w}>".encode(), DIMENSIONS - 1
     crc = zlib.crc32
@@ -145,14 +143,15 @@ def fit(docs: DataFrame, train_rows: Column, sample: int = SAMPLE) -> Crf:
     """Learns from at most `sample` documents of each language among those where train_rows holds."""
     from pyspark.sql import Window
 
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & train_rows).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    # each partition offers `sample` ids of each language at most, so no language meets in one task as a whole
-    offered = known.withColumn("part", F.spark_partition_id()).withColumn("h", F.xxhash64("doc_id"))
-    offered = offered.withColumn("r", F.row_number().over(Window.partitionBy("part", "lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample)
-    picked = offered.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= sample).select("doc_id", "lang", "r")
-    picked = written(picked, "language-offers")
-    each = max(1, min(sample, sample * LANGUAGES // max(1, picked.select("lang").distinct().count())))
-    picked = written(picked.where(F.col("r") <= each).select("doc_id", "lang"), "language-sample")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & train_rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(1, min(sample, sample * LANGUAGES // max(1, len(counts))))
+    # of each language the ids with a hash below a bound that lets some 2 * each pass; so few meet in a task
+    bound = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 2 * each / n + 64 / n) * (1 << 31))) for lang, n in counts.items()], "lang string, bound long")
+    h = F.xxhash64("doc_id")
+    offered = known.join(F.broadcast(bound), "lang").where(h.bitwiseAND(F.lit((1 << 31) - 1)) < F.col("bound")).withColumn("h", h.bitwiseAND(F.lit((1 << 31) - 1)))
+    r = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = written(offered.withColumn("r", r).where(F.col("r") <= each).select("doc_id", "lang"), "language-sample")
     rows = texts(docs).join(F.broadcast(picked), "doc_id").where("length(text) > 0")
     pick = F.slice(F.split(F.trim("text"), r"\s+"), F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size(F.split(F.trim("text"), r"\s+")) - 2 * TRAIN_WORDS)).cast("int"), 2 * TRAIN_WORDS)
     found = rows.select(F.array_join(pick, " ").alias("t"), "lang", "doc_id").orderBy("doc_id", "lang", "t").collect()

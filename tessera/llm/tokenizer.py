@@ -27,7 +27,7 @@ from tokenizers.models import BPE
 from .common import EXACT, SPACES, buffers, spans
 
 #: Distinct chunks that a worker remembers, some 60 bytes each, and bytes of text that it works on at a time.
-REMEMBERED, PIECE = 600_000, 2 << 20
+REMEMBERED, PIECE = 300_000, 1 << 20
 #: Fragments whose ids a worker remembers, some 200 bytes each.
 FRAGMENTS = 100_000
 #: What may follow a word in a chunk that is split without the pattern: runs of ASCII marks are one word, but for contractions.
