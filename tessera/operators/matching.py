@@ -51,10 +51,22 @@ def top_k(pairs: DataFrame, query: str, order: list[Column], k: int) -> DataFram
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def tie_flags(pairs: DataFrame, query: str, score: str, within: float = 0.05) -> DataFrame:
-    """best, gap to the runner-up and number of candidates within `within` of the best, for each query."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), "code")
-    ranked = pairs.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead(score).over(w)).withColumn("best", F.max(score).over(Window.partitionBy(query)))
-    return ranked.groupBy(query).agg(
-        F.max("best").alias("best"), F.max(F.when(F.col("r") == 1, F.col(score) - F.col("next"))).alias("gap"), F.count_if(F.col(score) >= F.col("best") - within).alias("tied")
-    )
+def year_or_brand(q: DataFrame, entries: DataFrame) -> DataFrame:
+    """Records (q_brand, q_year, ...) with the entries (brand, year, ...) of their brand and year, or of their brand where there is
+    none of that year. Give entries reduced to what the score depends on: then pairs grow with the records alone."""
+    b = entries.withColumn("b", F.upper(F.trim("brand")))
+    q = q.withColumn("b", F.upper(F.trim("q_brand")))
+    by_year = b.withColumn("q_year", F.col("year"))
+    near = q.join(by_year, ["b", "q_year"])
+    rest = q.join(by_year.select("b", "q_year").distinct(), ["b", "q_year"], "left_anti").join(b, "b")
+    return near.unionByName(rest)
+
+
+def tie_flags(pairs: DataFrame, query: str, score: str, weight: str, within: float = 0.05) -> DataFrame:
+    """best, gap to the runner-up and number of candidates within `within` of the best, for each query. A row stands for
+    `weight` candidates; candidates are summed by score first, so a query's list is as long as its different scores."""
+    by_score = pairs.groupBy(query, score).agg(F.sum(weight).alias("n"))
+    found = by_score.groupBy(query).agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), "n")))).alias("own"))
+    best, second = F.col("own")[0]["s"], F.get("own", 1)["s"]
+    tied = F.aggregate(F.filter("own", lambda x: x["s"] >= best - within), F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    return found.select(query, best.alias("best"), F.when(F.col("own")[0]["n"] > 1, 0.0).otherwise(best - second).alias("gap"), tied.alias("tied"))

@@ -2,7 +2,7 @@
 
 The queries go out in blocks of at most `block` vectors, so what a task gets has a fixed bound; each task keeps the best
 k of its rows for each query, in the order of the answer (rounded cosine, then vec_id), so any number of ties is settled
-exactly, and one aggregation merges them.
+exactly, and one aggregation merges them. Rows without an id or a vector are no neighbours and no queries.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ SLICE, SELF = 512, -2_000_000
 
 
 def _unit(col: pa.Array, width: int) -> np.ndarray:
-    v = np.array(col.to_pylist(), dtype=np.float64).reshape(-1, width)
+    v = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     n = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
@@ -54,6 +54,7 @@ def _near(ids: np.ndarray, q: np.ndarray, k: int):
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k most similar other rows of each query (ties by vec_id)."""
+    vectors, queries = (v.where("vec_id is not null and embedding is not null") for v in (vectors, queries))
     blocks = -(-queries.count() // block)
     found = None
     for i in range(max(1, blocks)):

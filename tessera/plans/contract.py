@@ -45,7 +45,7 @@ def dirty(parts: DataFrame) -> DataFrame:
     return parts.select(
         n.alias("query_id"), F.when(n % 3 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("q_brand"),
         F.when(n % 4 == 0, F.element_at(F.split("p_name", " "), 1)).when(n % 4 == 1, F.concat(F.col("p_name"), F.lit(" 4x4"))).otherwise(F.col("p_name")).alias("q_model"),
-        F.when(n % 5 != 0, 1990 + F.col("p_size")).alias("q_year"), (1990 + F.col("p_size")).alias("block_year"),
+        F.when(n % 5 != 0, 1990 + F.col("p_size") + F.when(n % 11 == 0, 1).otherwise(0)).alias("q_year"),
     )
 
 
@@ -56,10 +56,16 @@ def catalogue(parts: DataFrame) -> DataFrame:
 DIRTY_SQL = """
 q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE p_brand END AS q_brand,
   CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) WHEN p_partkey % 4 = 1 THEN p_name || ' 4x4' ELSE p_name END AS q_model,
-  CASE WHEN p_partkey % 5 <> 0 THEN 1990 + p_size END AS q_year, 1990 + p_size AS block_year FROM part),
+  CASE WHEN p_partkey % 5 <> 0 THEN 1990 + p_size + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END END AS q_year FROM part),
 c AS (SELECT p_partkey AS code, p_brand AS brand, p_name AS model, 1990 + p_size AS year FROM part)"""
 
 
+#: Records with the catalogue's entries of their brand and year, or of their brand where there is none of that year.
+PAIRS_SQL = DIRTY_SQL + """,
+k AS (SELECT DISTINCT upper(trim(brand)) AS b, year FROM c),
+p AS (SELECT q.*, c.* FROM q LEFT JOIN k ON upper(trim(q_brand)) = k.b AND q_year = k.year JOIN c ON upper(trim(q_brand)) = upper(trim(brand)) AND (k.b IS NULL OR c.year = q_year))"""
+
+
 def _sim_sql(a: str, b: str, inside: float, boost: float = 1.0, most: float = 1.0) -> str:
     x, y = f"upper(trim({a}))", f"upper(trim({b}))"
     wa, wb = (f"list_filter(list_distinct(string_split_regex({v}, '\\s+')), lambda w: w <> '')" for v in (x, y))
@@ -69,27 +75,25 @@ def _sim_sql(a: str, b: str, inside: float, boost: float = 1.0, most: float = 1.
 
 
 @register(f"""
-WITH {DIRTY_SQL},
-s AS (SELECT query_id, code, 0.4 * ({_sim_sql("q_brand", "brand", 0.8)}) + 0.4 * ({_sim_sql("q_model", "model", 0.8)}) + CASE WHEN q_year = year THEN 0.2 ELSE 0.0 END AS s
-  FROM q JOIN c ON upper(trim(q_brand)) = upper(trim(brand)) AND block_year = year),
+WITH {PAIRS_SQL},
+s AS (SELECT query_id, code, 0.4 * ({_sim_sql("q_brand", "brand", 0.8)}) + 0.4 * ({_sim_sql("q_model", "model", 0.8)}) + CASE WHEN q_year = year THEN 0.2 ELSE 0.0 END AS s FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, code) AS rn FROM s)
 SELECT query_id, code, round(s, 6) AS score, CASE WHEN round(s, 6) >= 0.9 THEN 'auto_accept' WHEN round(s, 6) >= 0.8 THEN 'needs_review' ELSE 'no_match' END AS decision FROM r WHERE rn = 1
 """)
 def queue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The simple matcher: block on brand and year, weighted score, best code, decision."""
+    """The simple matcher: block on brand and year, on brand alone where there is none of the year; weighted score, best code,
+    decision. Entries that score alike by right meet a record once, with their least code."""
     parts = table(spark, sf_dir, "part")
-    q, c = dirty(parts), catalogue(parts)
-    pairs = q.withColumn("b", F.upper(F.trim("q_brand"))).join(c.withColumn("b", F.upper(F.trim("brand"))).withColumnRenamed("year", "block_year"), ["b", "block_year"])
-    s = M.queue_score(F.col("q_brand"), F.col("brand"), F.col("q_model"), F.col("model"), F.col("q_year"), F.col("block_year"))
+    pairs = M.year_or_brand(dirty(parts), catalogue(parts).groupBy("brand", "model", "year").agg(F.min("code").alias("code")))
+    s = M.queue_score(F.col("q_brand"), F.col("brand"), F.col("q_model"), F.col("model"), F.col("q_year"), F.col("year"))
     best = M.top_k(pairs.select("query_id", "code", F.round(s, 6).alias("score")), "query_id", [F.desc("score"), F.col("code")], 1)
     return best.select("query_id", "code", "score", M.decide(F.col("score"), M.Thresholds(0.9, 0.8)).alias("decision"))
 
 
 @register(f"""
-WITH {DIRTY_SQL},
+WITH {PAIRS_SQL},
 s AS (SELECT query_id, code, {_sim_sql("q_brand", "brand", 0.9, 1.2, 0.8)} AS sb, {_sim_sql("q_model", "model", 0.9)} AS sm,
-  CASE WHEN q_year IS NULL THEN 0.0 WHEN abs(q_year - year) = 0 THEN 1.0 WHEN abs(q_year - year) = 1 THEN 0.9 WHEN abs(q_year - year) = 2 THEN 0.7 WHEN abs(q_year - year) <= 5 THEN 0.5 ELSE 0.1 END AS sy
-  FROM q JOIN c ON upper(trim(q_brand)) = upper(trim(brand)) AND block_year = year),
+  CASE WHEN q_year IS NULL THEN 0.0 WHEN abs(q_year - year) = 0 THEN 1.0 WHEN abs(q_year - year) = 1 THEN 0.9 WHEN abs(q_year - year) = 2 THEN 0.7 WHEN abs(q_year - year) <= 5 THEN 0.5 ELSE 0.1 END AS sy FROM p),
 t AS (SELECT query_id, code, round(0.4 * sb + 0.35 * sm + 0.15 * sy + 0.1 * 0.5, 6) AS score FROM s),
 r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nx, max(score) OVER (PARTITION BY query_id) AS best FROM t WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, code))
 SELECT query_id, max(best) AS best, round(max(CASE WHEN rn = 1 THEN score - nx END), 6) AS gap, count(*) FILTER (score >= best - 0.05) AS tied,
@@ -99,28 +103,29 @@ FROM r GROUP BY query_id
 def domain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain matcher: component scores, gap to the runner-up, tie set, confidence level."""
     parts = table(spark, sf_dir, "part")
-    q, c = dirty(parts), catalogue(parts).drop("description")
-    pairs = q.withColumn("b", F.upper(F.trim("q_brand"))).join(c.withColumn("b", F.upper(F.trim("brand"))).withColumn("block_year", F.col("year")), ["b", "block_year"])
+    pairs = M.year_or_brand(dirty(parts), catalogue(parts).groupBy("brand", "model", "year").agg(F.count(F.lit(1)).alias("n")))
     sb, sm, sy = M.domain_scores(F.col("q_brand"), F.col("brand"), F.col("q_model"), F.col("model"), F.col("q_year"), F.col("year"))
-    scored = pairs.select("query_id", "code", F.round(0.4 * sb + 0.35 * sm + 0.15 * sy + F.lit(0.1) * 0.5, 6).alias("score"))
-    out = M.tie_flags(scored, "query_id", "score")
+    scored = pairs.select("query_id", "n", F.round(0.4 * sb + 0.35 * sm + 0.15 * sy + F.lit(0.1) * 0.5, 6).alias("score"))
+    out = M.tie_flags(scored, "query_id", "score", "n")
     return out.select("query_id", "best", F.round("gap", 6).alias("gap"), "tied", T.case_level(F.col("best"), 0.85, 0.65, 0.45).alias("level"))
 
 
 @register(f"""
 WITH {DIRTY_SQL},
-p AS (SELECT query_id, code, CASE WHEN q_year IS NOT NULL AND model = q_model THEN 1 WHEN q_year IS NOT NULL THEN 2 ELSE 3 END AS tier
-  FROM q JOIN c ON upper(trim(q_brand)) = upper(trim(brand)) AND block_year = year),
+p AS (SELECT query_id, code, CASE WHEN q_year = year AND model = q_model THEN 1 WHEN q_year = year THEN 2 ELSE 3 END AS tier FROM q JOIN c ON upper(trim(q_brand)) = upper(trim(brand))),
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM p)
 SELECT query_id, tier, count(*) AS n, min(code) AS first_code FROM b WHERE tier = best GROUP BY query_id, tier
 """)
 def block_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relaxation ladder as one join: exact model, same year, brand alone; the best tier of each query."""
+    """The relaxation ladder: exact model of brand and year, brand and year, brand alone; the best tier of each query. Each tier
+    is a join with counts by its key, so no pairs of a record and an entry exist."""
     parts = table(spark, sf_dir, "part")
-    c = catalogue(parts).select("code", "model", F.col("year").alias("block_year"), F.upper(F.trim("brand")).alias("b"))
-    pairs = dirty(parts).withColumn("b", F.upper(F.trim("q_brand"))).join(c, ["b", "block_year"])
-    tier = F.when(F.col("q_year").isNotNull() & (F.col("model") == F.col("q_model")), 1).when(F.col("q_year").isNotNull(), 2).otherwise(3)
-    return M.lowest_tier(pairs.select("query_id", "code", "model", "q_model", "q_year"), "query_id", tier).groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code"))
+    c = catalogue(parts).select("code", "model", "year", F.upper(F.trim("brand")).alias("b"))
+    out = dirty(parts).withColumn("b", F.upper(F.trim("q_brand"))).withColumnsRenamed({"q_model": "model", "q_year": "year"})
+    for tier, key in enumerate((["b", "year", "model"], ["b", "year"], ["b"]), 1):
+        out = out.join(c.groupBy(*key).agg(F.struct(F.lit(tier).alias("tier"), F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code")).alias(f"t{tier}")), key, "left")
+    best = F.coalesce("t1", "t2", "t3")
+    return out.where(best.isNotNull()).select("query_id", best["tier"].alias("tier"), best["n"].alias("n"), best["first_code"].alias("first_code"))
 
 
 _PLAIN_SQL = f"translate(%s, '{T.ACCENTED}', '{T.PLAIN}')"
@@ -130,12 +135,12 @@ _PLAIN_SQL = f"translate(%s, '{T.ACCENTED}', '{T.PLAIN}')"
 WITH d AS (SELECT doc_id, text, {_PLAIN_SQL % "replace(replace(replace(replace(lower(trim(text)), 'ß', 'ss'), 'æ', 'ae'), 'ø', 'o'), 'œ', 'oe')"} AS x FROM documents),
 n AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(x, '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_\\s.\\-]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm,
   trim(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'SS')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS descr FROM d)
-SELECT doc_id, sha256(norm) AS norm_sha256, length(norm) AS norm_length, length(descr) AS descr_length,
-  len(list_filter(string_split(descr, ' '), lambda w: w NOT IN ('DE', 'LA', 'EL', 'EN', 'CON', 'Y', 'O', 'DEL') AND length(w) > 1)) AS n_tokens FROM n
+SELECT doc_id, sha256(norm) AS norm_sha256, sha256(descr) AS descr_sha256,
+  sha256(array_to_string(list_filter(string_split(descr, ' '), lambda w: w NOT IN ('DE', 'LA', 'EL', 'EN', 'CON', 'Y', 'O', 'DEL') AND length(w) > 1), ' ')) AS tokens_sha256 FROM n
 """)
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"), T.clean_description(F.col("text")).alias("descr"), T.search_tokens(F.col("text")).alias("tokens"))
-    return d.select("doc_id", F.sha2("norm", 256).alias("norm_sha256"), F.length("norm").cast("long").alias("norm_length"), F.length("descr").cast("long").alias("descr_length"), F.size("tokens").cast("long").alias("n_tokens"))
+    return d.select("doc_id", F.sha2("norm", 256).alias("norm_sha256"), F.sha2("descr", 256).alias("descr_sha256"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
 
 
 @register("""
@@ -224,19 +229,31 @@ def email_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_cases"), "last_case", F.coalesce("s", F.lit("not_processed")).alias("status"))
 
 
-@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS processed FROM orders WHERE o_orderstatus <> 'P'")
+def processed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed and unprocessed runs: a semi and an anti join with the rows that show it."""
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
+    return o.join(done, "o_orderkey", "left_semi").withColumn("processed", F.lit(True)).unionByName(o.join(done, "o_orderkey", "left_anti").withColumn("processed", F.lit(False)))
+
+
+@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 
 @register("""
-SELECT o_orderkey, 'TK-' || year(o_orderdate)::VARCHAR || '-' || lpad(row_number() OVER (PARTITION BY year(o_orderdate), month(o_orderdate) ORDER BY o_orderdate, o_orderkey)::VARCHAR, 6, '0') AS case_number FROM orders
+SELECT o_orderkey, 'TK-' || year(o_orderdate)::VARCHAR || '-' || lpad(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey)::VARCHAR, 6, '0') AS case_number FROM orders
 """)
 def case_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case numbers by year and month, so that no window holds a whole year."""
-    d = F.col("o_orderdate")
-    n = F.row_number().over(Window.partitionBy(F.year(d), F.month(d)).orderBy(d, "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("TK-"), F.year(d).cast("string"), F.lit("-"), F.lpad(n.cast("string"), 6, "0")).alias("case_number"))
+    """Case numbers by year: numbered within each day, after the running count of the year's earlier days, so that no window
+    holds more rows than a day's orders or a year's days."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.to_date("o_orderdate").alias("day"))
+    year = Window.partitionBy(F.year("day")).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = o.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", F.coalesce(F.sum("n").over(year), F.lit(0)).alias("earlier"))
+    n = F.row_number().over(Window.partitionBy("day").orderBy("o_orderdate", "o_orderkey")) + F.col("earlier")
+    return o.join(days, "day").select("o_orderkey", F.concat(F.lit("TK-"), F.year("day").cast("string"), F.lit("-"), F.lpad(n.cast("string"), 6, "0")).alias("case_number"))
 
 
 @register("SELECT p_brand AS brand, p_name AS model, p_size AS size, min(p_partkey) AS code FROM part GROUP BY ALL")
@@ -267,15 +284,21 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn(v, v.where("vec_id % 20 = 0"), 25).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("""
-SELECT doc_id, quality, toxic, CASE WHEN quality = 1 AND toxic = 0 THEN 'auto_accept' WHEN quality = 1 THEN 'needs_review' ELSE 'no_match' END AS decision, n_chars >= 500 AS predicted,
-  (n_chars >= 500) = (quality = 1) AS correct FROM labels JOIN documents USING (doc_id)
+@register(f"""
+WITH {PAIRS_SQL},
+s AS (SELECT query_id, code, 0.4 * ({_sim_sql("q_brand", "brand", 0.8)}) + 0.4 * ({_sim_sql("q_model", "model", 0.8)}) + CASE WHEN q_year = year THEN 0.2 ELSE 0.0 END AS s FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, code) AS rn FROM s),
+d AS (SELECT query_id, code = query_id AS hit, CASE WHEN round(s, 6) >= 0.9 THEN 'auto_accept' WHEN round(s, 6) >= 0.8 THEN 'needs_review' ELSE 'no_match' END AS decision FROM r WHERE rn = 1)
+SELECT count(*) AS n, round(avg(hit::INT), 6) AS top1_accuracy, round(count(*) FILTER (decision = 'auto_accept' AND hit) / greatest(count(*) FILTER (decision = 'auto_accept'), 1), 6) AS auto_precision,
+  round(count(*) FILTER (decision = 'auto_accept') / count(*), 6) AS auto_rate, round(count(*) FILTER (decision = 'needs_review') / count(*), 6) AS review_rate, round(count(*) FILTER (decision = 'no_match') / count(*), 6) AS no_match_rate FROM d
 """)
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels against predictions, row by row."""
-    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    q, p = F.col("quality") == 1, F.col("n_chars") >= 500
-    return d.select("doc_id", "quality", "toxic", F.when(q & (F.col("toxic") == 0), "auto_accept").when(q, "needs_review").otherwise("no_match").alias("decision"), p.alias("predicted"), (p == q).alias("correct"))
+    """The simple matcher's decisions against the truth, which is the entry that a record was written of."""
+    d, hit = queue_match(spark, sf_dir), F.col("code") == F.col("query_id")
+    n, of = F.count(F.lit(1)), lambda k: F.count_if(F.col("decision") == k)
+    rate = lambda k: F.round(of(k) / n, 6)
+    precision = F.round(F.count_if((F.col("decision") == "auto_accept") & hit) / F.greatest(of("auto_accept"), F.lit(1)), 6)
+    return d.agg(n.alias("n"), F.round(F.avg(hit.cast("int")), 6).alias("top1_accuracy"), precision.alias("auto_precision"), rate("auto_accept").alias("auto_rate"), rate("needs_review").alias("review_rate"), rate("no_match").alias("no_match_rate"))
 
 
 @register("""
