@@ -70,3 +70,26 @@ def tie_flags(pairs: DataFrame, query: str, score: str, weight: str, within: flo
     best, second = F.col("own")[0]["s"], F.get("own", 1)["s"]
     tied = F.aggregate(F.filter("own", lambda x: x["s"] >= best - within), F.lit(0).cast("long"), lambda t, x: t + x["n"])
     return found.select(query, best.alias("best"), F.when(F.col("own")[0]["n"] > 1, 0.0).otherwise(best - second).alias("gap"), tied.alias("tied"))
+
+
+def break_ties(candidates: DataFrame, query: str, within: float = 0.05) -> DataFrame:
+    """query, tied, code, used from candidates (code, score, y, qy, full, strength, detail): of those within `within` of the best
+    the one of the record's year if it is alone, the fullest by 0.2, the newest if it is alone, the one with the strongest
+    components above 1.5, the most detailed by a fifth, else the first. All by aggregates of the tie set, without a sort of it."""
+    best = F.max("score").over(Window.partitionBy(query))
+    t = candidates.withColumn("best", best).where(F.round(F.col("best") - F.col("score"), 6) <= within)
+    order = [-F.col("score"), F.col("code")]
+    top = lambda c: F.min_by("code", F.struct((-F.col(c)).alias("v"), *(o.alias(f"o{i}") for i, o in enumerate(order))))
+    two = lambda c: F.slice(F.sort_array(F.collect_list(c), asc=False), 1, 2)
+    exact = F.col("y") == F.col("qy")
+    g = t.groupBy(query).agg(
+        F.count(F.lit(1)).alias("tied"), F.min_by("code", F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias("first"), F.count_if(exact).alias("exact"), F.min(F.when(exact, F.col("code"))).alias("exact_code"),
+        *(two(c).alias(f"{c}s") for c in ("full", "y", "detail")), F.max("strength").alias("strongest"), *(top(c).alias(f"{c}_code") for c in ("full", "y", "strength", "detail")),
+    )
+    second = lambda c: F.get(f"{c}s", 1)
+    code = (
+        F.when(F.col("tied") == 1, F.col("first")).when(F.col("exact") == 1, F.col("exact_code")).when(F.round(F.col("fulls")[0] - second("full"), 6) >= 0.2, F.col("full_code"))
+        .when(F.col("ys")[0].isNotNull() & (second("y").isNull() | (second("y") < F.col("ys")[0])), F.col("y_code")).when(F.col("strongest") > 1.5, F.col("strength_code"))
+        .when(F.col("details")[0] > second("detail") * 1.2, F.col("detail_code")).otherwise(F.col("first"))
+    )
+    return g.select(query, "tied", code.alias("code"), (F.col("tied") > 1).alias("used"))
