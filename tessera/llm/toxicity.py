@@ -1,14 +1,17 @@
 """Toxicity: a lexicon learned from labels, a trie of it intersected with Levenshtein automata, and context windows.
 
-Lexicon. Words and stems (beginnings of words) that labelled toxic training texts hold far more often than clean ones.
-The texts are a bounded sample: at most SAMPLE of each label, those with the smallest hash of doc_id.
+Lexicon. Words and stems (beginnings of words) that labelled toxic training texts hold far more often than clean ones, by
+a test of significance over all words, stems included. What counts is in how many different surroundings (words before and
+after) a term is found, so the words of a text that was copied many times are no evidence. The texts are a bounded sample:
+at most SAMPLE of each label, those with the smallest hash of doc_id.
 
-Automaton. The trie of the lexicon is intersected with Levenshtein automata of the terms' own distances: none for stems
-and short terms, 1 from five letters, 2 from nine, the first letter fixed. A state is a set of (trie node, errors);
-states are made when first met, so a word is followed letter by letter and most are dead after two or three.
+Automaton. The trie of the lexicon is intersected with Levenshtein automata of the terms' own distances: 1 from four letters
+(stems: six), 2 from nine, anywhere in the word, but none for a term whose misspellings clean texts of the sample hold. A state is a set of (trie node, errors); states are made when first met,
+so a word is followed letter by letter and most are dead after two or three.
 
-Context. A hit inside quotation marks, or beside a word of reporting, is a quotation and counts apart from abuse. The
-score is a logistic regression on the hits, misspelled hits and quoted hits of the whole text.
+Context. A hit inside quotation marks, or beside a word of reporting, is a quotation. A text's weight of hits is the number
+of its terms, with misspelled ones at MISSPELLED and quoted ones at QUOTED of a term; the score is a logistic regression on it
+and on its share of the words, whose weights are never negative, so a hit never lowers a score.
 
 Defined cases: a null or empty text, or one without hits, has the score of no hits; without labelled rows of both kinds
 there is no lexicon and every score is 0; repeated rows give their own rows; a null doc_id is kept and is no training
@@ -19,6 +22,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import pieces, texts, without, written
 
-#: Bound of the training sample for each label, of the lexicon, and of the words a task remembers.
-SAMPLE, TERMS, CACHE = 10_000, 500, 500_000
-#: A term is in at least LEAST texts and SHARE of the toxic sample, and RATIO times as often there as in the clean sample.
-LEAST, SHARE, RATIO = 6, 0.03, 20.0
+#: Bound of the training sample for each label, and of the words a task remembers.
+SAMPLE, CACHE = 10_000, 300_000
+#: A term is in at least LEAST surroundings in toxic texts, RATIO times as often as in clean ones, and chance makes none of that
+#: significance in DOUBT of all lexicons.
+LEAST, RATIO, DOUBT = 6, 20.0, 0.01
+#: What a misspelled and a quoted hit count.
+MISSPELLED, QUOTED = 0.8, 0.25
 STEM, STEM_MOST = 4, 6
 STRIP = ".,;:!?()[]{}<>|*&%$#@~_-=+/\\'\"`«»“”„‘’¡¿…"
 MARKS = "\"“”„«»"
@@ -41,18 +48,44 @@ REPORTING = frozenset(("said", "says", "wrote", "called", "quoted", "quote", "di
 WINDOW = 3
 
 
+def _own_terms(word: str) -> list[str]:
+    """A word and its stems; a stem begins with ^."""
+    return [word, *(f"^{word[:k]}" for k in range(STEM, STEM_MOST + 1) if len(word) > k)] if word else []
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic texts with it, clean texts with it) of each batch; a stem begins with ^."""
+    """(term, toxic texts with it, clean texts with it) of each batch."""
     for b in (p for batch in batches for p in pieces(batch, "text")):
         counts = (Counter(), Counter())
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            own = {w.strip(STRIP) for w in text.lower().split()}
-            own |= {f"^{w[:k]}" for w in own for k in range(STEM, STEM_MOST + 1) if len(w) > k}
-            counts[toxic].update(own)
-        terms = [t for t in counts[0].keys() | counts[1].keys() if t]
+            counts[toxic].update({t for w in {w.strip(STRIP) for w in text.lower().split()} for t in _own_terms(w)})
+        terms = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "toxic": pa.array([counts[1][t] for t in terms], pa.int64()), "clean": pa.array([counts[0][t] for t in terms], pa.int64())})
 
 
+def _surroundings(candidates: set[str]):
+    """(term, near, toxic) of the candidates: near stands for the words before and after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for batch in batches for p in pieces(batch, "text")):
+            found = set()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                own = ["", *text.lower().split(), ""]
+                for i in range(1, len(own) - 1):
+                    found.update((t, zlib.crc32(f"{own[i - 1]} {own[i + 1]}".encode()), toxic) for t in _own_terms(own[i].strip(STRIP)) if t in candidates)
+            rows = list(found)
+            yield pa.RecordBatch.from_pydict({"term": pa.array([r[0] for r in rows], pa.string()), "near": pa.array([r[1] for r in rows], pa.int64()), "toxic": pa.array([r[2] for r in rows], pa.int32())})
+
+    return run
+
+
+def significance(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """Log-likelihood ratio of a term's toxic and clean counts against the shares of the sample."""
+    share = n_toxic / (n_toxic + n_clean)
+    part = lambda c, p: F.when(c > 0, c * F.log(c / ((toxic + clean) * p))).otherwise(0.0)
+    return part(toxic, share) + part(clean, 1 - share)
+
+
 def choose_terms(found: list[tuple[str, int, int]]) -> list[str]:
     """Words and stems from (term, toxic, clean): a word stands for its stem where it makes up most of it."""
     count = {t: a for t, a, _ in found}
@@ -65,22 +98,23 @@ def choose_terms(found: list[tuple[str, int, int]]) -> list[str]:
         if own and max(own.values()) >= 0.7 * a:
             out |= {w for w, n in own.items() if n >= 0.1 * a}
         else:
+            out |= set(own)  # beside the stem, so that their misspellings match
             longer = [t for t in count if t[0] == "^" and t.startswith(stem) and count[t] >= 0.95 * a]
             out.add(max(longer, key=len))
     out |= set(words) - covered
-    return sorted(out, key=lambda t: (-count[t], t))[:TERMS]
+    return sorted(out, key=lambda t: (-count[t], t))
 
 
 class Automaton:
     """match(word): 0 no term, 1 a term, 2 a misspelled term."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset()):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[dict] = [{}]
         self.most = [0]
         for term in terms:
             stem, word = term[0] == "^", term.lstrip("^")
-            allowed = 0 if stem or len(word) < 5 else 1 if len(word) < 9 else 2
+            allowed = 0 if term in strict or len(word) < (6 if stem else 4) else 1 if stem or len(word) < 9 else 2
             node = 0
             self.most[0] = max(self.most[0], allowed)
             for c in word:
@@ -97,14 +131,14 @@ class Automaton:
         self.moves: list[dict[str, int]] = []
         self.accepts: list[int] = []
         self.dead = self._state(frozenset())
-        self.start = self._state(frozenset({(0, 0)}))
+        self.start = self._state(self._close({(0, 0)}))
 
     def _state(self, s: frozenset) -> int:
         if s not in self.states:
             self.states[s] = len(self.sets)
             self.sets.append(s)
             self.moves.append({})
-            best = min((e for v, e in s if e <= self.ends[v].get("word", -1)), default=None) if ("stem", 0) not in s else 0
+            best = 0 if ("stem", 0) in s else min((e for v, e in s if v != "stem" and e <= self.ends[v].get("word", -1)), default=1 if ("stem", 1) in s else None)
             self.accepts.append(0 if best is None else 1 if best == 0 else 2)
         return self.states[s]
 
@@ -127,15 +161,20 @@ class Automaton:
             else:
                 new: set = set()
                 for v, e in now:
+                    if v == "stem":
+                        continue
                     u = self.children[v].get(c)
                     if u is not None:
                         new.add((u, e))
-                    if v and e + 1 <= self.most[v]:
+                    if e + 1 <= self.most[v]:
                         new.add((v, e + 1))
                         new |= {(w, e + 1) for w in self.children[v].values() if e + 1 <= self.most[w]}
                 closed = self._close(new)
-                if any(e == 0 and "stem" in self.ends[v] for v, e in closed):
+                stems = [e for v, e in closed if e <= self.ends[v].get("stem", -1)]
+                if 0 in stems:
                     closed = frozenset({("stem", 0)})
+                elif stems or ("stem", 1) in now:
+                    closed |= {("stem", 1)}
                 known = self._state(closed)
             self.moves[state][c] = known
         return known
@@ -152,8 +191,8 @@ class Automaton:
 class Scanner:
     """hits(text): how many terms, misspelled terms and quoted terms a text holds, and its words."""
 
-    def __init__(self, terms: list[str]):
-        self.automaton = Automaton(terms)
+    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset()):
+        self.automaton = Automaton(terms, strict)
         self.known: dict[str, int] = {}
 
     def code(self, word: str) -> int:
@@ -188,22 +227,51 @@ class Scanner:
 
 def features(hits: np.ndarray) -> np.ndarray:
     exact, fuzzy, quoted, n = hits.astype(float).T
-    both = exact + fuzzy  # a misspelled term counts as a term, but for a weight of texts that hold misspelled ones alone
-    return np.column_stack([np.ones(len(hits)), np.log1p(both), both > 0, (fuzzy > 0) & (exact == 0), np.log1p(quoted), both / np.maximum(n, 1) * 10])
+    weight = exact + MISSPELLED * fuzzy + QUOTED * quoted
+    return np.column_stack([np.ones(len(hits)), np.log1p(weight), weight >= MISSPELLED, weight / np.maximum(n, 1) * 10])
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by Newton steps with a small ridge; all but the first are 0 or more: features with a negative one are left out."""
+    use = list(range(x.shape[1]))
+    while True:
+        w, z = np.zeros(len(use)), x[:, use]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            w -= np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (p - y) + 0.1 * w)
+        worst = int(np.argmin(w[1:])) + 1 if len(w) > 1 else 0
+        if not worst or w[worst] >= 0:
+            out = np.zeros(x.shape[1])
+            out[use] = w
+            return out
+        del use[worst]
 
 
 @dataclass(frozen=True)
 class Model:
     terms: list[str]
     weights: np.ndarray
+    strict: frozenset[str] = frozenset()
 
     def scores(self, hits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features(hits) @ self.weights, -30, 30)))
 
 
-def _hits(terms: list[str]):
+def _misspelled(terms: list[str]):
+    """The words that match a term with errors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Automaton(terms).match
+        for b in (p for batch in batches for p in pieces(batch, "text")):
+            words = {w.lower().strip(STRIP) for t in b.column("text").to_pylist() for w in set(t.split())}
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w in words if match(w) == 2], pa.string())})
+
+    return run
+
+
+def _hits(terms: list[str], strict: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(terms)
+        scanner = Scanner(terms, strict)
         for b in (p for batch in batches for p in pieces(batch, "text")):
             h = np.array([scanner.hits(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), **{c: pa.array(h[:, i]) for i, c in enumerate(("exact", "fuzzy", "quoted", "n"))}})
@@ -219,24 +287,26 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
     rows = written(texts(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic"), "toxicity-texts")
     n = dict(rows.groupBy("toxic").count().collect())
     if not (n.get(0) and n.get(1)):
-        return Model([], np.array([-30.0, 0, 0, 0, 0, 0]))
+        return Model([], np.array([-30.0, 0, 0, 0]))
     counts = rows.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = (F.col("toxic") >= max(LEAST, math.ceil(SHARE * n[1]))) & ((F.col("toxic") + 0.5) / (n[1] + 1) >= RATIO * (F.col("clean") + 0.5) / (n[0] + 1))
-    terms = choose_terms([tuple(r) for r in counts.where(often).orderBy(F.desc("toxic"), "term").limit(20 * TERMS).collect()])
-    h = rows.mapInArrow(_hits(terms), "toxic int, exact long, fuzzy long, quoted long, n long").toPandas()
+    counts = written(counts, "toxicity-terms")
+    bound = math.log(max(1, counts.where(F.col("toxic") + F.col("clean") >= LEAST).count()) / DOUBT)
+    ratio = (F.col("toxic") + 0.5) / (n[1] + 1) >= RATIO * (F.col("clean") + 0.5) / (n[0] + 1)
+    often = (F.col("toxic") >= LEAST) & ratio & (significance(F.col("toxic"), F.col("clean"), n[1], n[0]) >= bound)
+    candidates = {r.term for r in counts.where(often).select("term").collect()}  # of a bounded sample
+    near = rows.mapInArrow(_surroundings(candidates), "term string, near long, toxic int").distinct()
+    near = near.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
+    terms = choose_terms([tuple(r) for r in near.where(often).collect()])
+    clean = [r.word for r in rows.where("toxic = 0").mapInArrow(_misspelled(terms), "word string").distinct().collect()]  # of a bounded sample
+    strict = frozenset(t for t in terms if any(map(Automaton([t]).match, clean)))
+    h = rows.mapInArrow(_hits(terms, strict), "toxic int, exact long, fuzzy long, quoted long, n long").toPandas()
     x, y = features(h[["exact", "fuzzy", "quoted", "n"]].to_numpy()), h["toxic"].to_numpy(float)
-    w = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 0.1 * w
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w -= np.linalg.solve(hess, grad)
-    return Model(terms, w)
+    return Model(terms, logistic(x, y), strict)
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model.terms)
+        scanner = Scanner(model.terms, model.strict)
         for b in (p for batch in batches for p in pieces(batch, "text")):
             h = np.array([scanner.hits(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(model.scores(h)), "n_exact": pa.array(h[:, 0]), "n_fuzzy": pa.array(h[:, 1]), "n_quoted": pa.array(h[:, 2])})

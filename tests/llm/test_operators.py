@@ -133,7 +133,7 @@ def test_pii(spark):
 
 def test_toxicity(spark):
     a = toxicity.Automaton(["idiot", "^lowe", "worthless", "scum"])
-    assert [a.match(w) for w in ("idiot", "idiott", "idot", "lowexyz", "scumm", "wrthles", "xdiot", "the")] == [1, 2, 2, 1, 0, 2, 0, 0]
+    assert [a.match(w) for w in ("idiot", "idiott", "idot", "lowexyz", "scumm", "wrthles", "xdiot", "the")] == [1, 2, 2, 1, 2, 2, 2, 0]
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(12)) + (" you idiot" if i % 2 else "") for i in range(80)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)] + [(None, 1, 0), (3, None, 0)], "doc_id long, toxic int, quality int")
