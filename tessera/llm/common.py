@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -83,6 +86,20 @@ def without(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS)
     return df.join(F.broadcast(ids) if n <= limit else ids.hint("merge"), key, "left_anti")
 
 
+#: What this Python worker keeps from task to task, by operator.
+HELD: list[dict] = []
+
+
+def release() -> None:
+    """Gives up what other operators keep in this Python worker, which Spark uses again, and returns free memory to the system."""
+    for cache in HELD:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---- hashing of words and lines, without a Python object for each -------------------------------
 
 

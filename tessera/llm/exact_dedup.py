@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, pieces, scratch, texts, written
+from .common import only, pieces, release, scratch, texts, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "48",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's files take megabytes in advance
 }
 
@@ -48,6 +48,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 def _folder(digest_bytes: int, with_text: bool):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in (p for batch in batches for p in pieces(batch, "text")):
             folded = [x.encode().lower() for x in b.column("text").to_pylist()]  # bytes.lower() changes A-Z alone
             digest = [hashlib.sha256(x).digest() for x in folded]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, discard, keyed, mix, only, pieces, shingles, without, words, written
+from .common import STEP, discard, keyed, mix, only, pieces, release, shingles, without, words, written
 
 #: Shingles that lie in at least OFTEN windows come last in the order of pivots; at most ORDER_BOUND of them, the most frequent.
 OFTEN, ORDER_BOUND = 16, 1 << 18
@@ -94,6 +94,7 @@ def _close(percent: int):
 
 def _signatures(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for b in pieces(batch, "text"):
                 sets = shingle_sets(b.column("text"), k)
@@ -143,6 +144,7 @@ def _windows(k: int, percent: int, late: np.ndarray, rank: np.ndarray):
     """Rows (pivot, doc_id, n, place) of each document's window, shingles in `late` last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for b in pieces(batch, "text"):
                 sets = shingle_sets(b.column("text"), k)

@@ -24,7 +24,7 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import EXACT, SPACES, buffers, spans
+from .common import EXACT, HELD, SPACES, buffers, spans
 
 #: Distinct chunks that a worker remembers, some 60 bytes each, and bytes of text that it works on at a time.
 REMEMBERED, PIECE = 300_000, 1 << 20
@@ -234,6 +234,7 @@ class Strings:
 
 
 _WORKER: dict[str, tuple] = {}
+HELD.append(_WORKER)
 
 
 def worker_bpe(path: str) -> tuple[ForcedBoundaryBpe, ChunkCoder, Strings, Strings]:

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, texts, without, written
+from .common import pieces, release, texts, without, written
 
 #: Bound of the training sample for each label, and of the words a task remembers.
-SAMPLE, CACHE = 10_000, 300_000
+SAMPLE, CACHE = 10_000, 150_000
 #: A term is in at least LEAST surroundings in toxic texts, RATIO times as often as in clean ones, and chance makes none of that
 #: significance in DOUBT of all lexicons.
 LEAST, RATIO, DOUBT = 6, 20.0, 0.01
@@ -55,6 +55,7 @@ def _own_terms(word: str) -> list[str]:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic texts with it, clean texts with it) of each batch."""
+    release()
     for b in (p for batch in batches for p in pieces(batch, "text")):
         counts = (Counter(), Counter())
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
@@ -306,6 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scanner = Scanner(model.terms, model.strict)
         for b in (p for batch in batches for p in pieces(batch, "text")):
             h = np.array([scanner.hits(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, 4)
