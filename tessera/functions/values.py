@@ -117,3 +117,19 @@ def clean_vehicle(c: Column) -> Column:
         c = F.regexp_replace(T.collapse(c), p, "")
     out = F.trim(F.upper(c))
     return F.when(F.length(out) > 5, out).otherwise("")
+
+
+#: Words in the header of a table's column that holds vehicles.
+VEHICLE_HEADERS = ("VEHÍCULO", "VEHICLE", "DESCRIPCIÓN", "DESCRIPTION", "UNIDAD")
+
+
+def table_vehicles(rows: Column) -> Column:
+    """Cleaned vehicles of a table, an array of rows of cells whose first row is the header: of the columns whose header names
+    vehicles, of all columns of the header where none does. Cells that a row lacks are left out; no table gives no vehicles."""
+    none = F.array().cast("array<string>")
+    head = F.coalesce(F.get(rows, 0), none)
+    places = F.when(F.size(head) > 0, F.sequence(F.lit(0), F.size(head) - 1)).otherwise(F.array().cast("array<int>"))
+    named = F.filter(places, lambda i: F.coalesce(holds(F.get(head, i), VEHICLE_HEADERS), F.lit(False)))
+    use = F.when(F.size(named) > 0, named).otherwise(places)
+    cells = F.flatten(F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: F.transform(use, lambda i: F.get(r, i))))
+    return F.coalesce(F.filter(F.transform(F.filter(cells, lambda c: c.isNotNull() & vehicle_line(c)), clean_vehicle), lambda v: v != ""), none)

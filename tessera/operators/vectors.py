@@ -11,11 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries that a task compares with a batch at a time; what stands for the similarity of a row to itself, in millionths.
 SLICE, SELF = 512, -2_000_000
+#: The thresholds of the ladder with the names of its rungs.
+LADDER = ((0.85, "high_similarity"), (0.7, "medium_similarity"), (0.5, "low_similarity"))
 
 
 def _unit(col: pa.Array, width: int) -> np.ndarray:
@@ -32,17 +35,24 @@ def _best(sim: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(np.arange(width) - sim * width, k - 1, axis=1)[:, :k]  # no two keys are equal
 
 
-def _near(ids: np.ndarray, q: np.ndarray, k: int):
+def _near(ids: np.ndarray, q: np.ndarray, k: int, wants: pa.Array | None = None):
+    names = None if wants is None else wants.unique().drop_null()
+    want = None if wants is None else pc.index_in(wants, value_set=names).fill_null(-1).to_numpy()  # -1: any
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column("vec_id").to_numpy()
             order = np.argsort(own, kind="stable")
             own, v = own[order], _unit(b.column("embedding"), q.shape[1])[order].T
+            same = None if wants is None else pc.index_in(b.column("same"), value_set=names).fill_null(-1).to_numpy()[order]
             for i in range(0, len(ids), SLICE):
                 some = ids[i : i + SLICE]
                 sim = q[i : i + SLICE] @ v * 1e6
                 sim = np.trunc(sim + np.copysign(0.5, sim)).astype(np.int64)  # as round(x, 6) of the SQL
                 sim[some[:, None] == own[None, :]] = SELF
+                if wants is not None:
+                    mine = want[i : i + SLICE, None]
+                    sim[(mine >= 0) & (mine != same[None, :])] = SELF
                 at = _best(sim, k)
                 row = np.repeat(np.arange(len(some)), at.shape[1])
                 near = sim[row, at.ravel()]
@@ -52,19 +62,32 @@ def _near(ids: np.ndarray, q: np.ndarray, k: int):
     return run
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """query_id, vec_id, similarity, rank: the k most similar other rows of each query (ties by vec_id)."""
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, same: str | None = None) -> DataFrame:
+    """query_id, vec_id, similarity, rank: the k most similar other rows of each query (ties by vec_id). With `same`, a query meets
+    only rows with its value of that column, or all rows where its own is null."""
+    cols = ["vec_id", "embedding"] + ([] if same is None else [F.col(same).cast("string").alias("same")])
     vectors, queries = (v.where("vec_id is not null and embedding is not null") for v in (vectors, queries))
     blocks = -(-queries.count() // block)
     found = None
     for i in range(max(1, blocks)):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == i).select("vec_id", "embedding").toArrow()
+        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == i).select(*cols).toArrow()
         if not part.num_rows:
             continue
         q = _unit(part.column("embedding").combine_chunks(), len(part.column("embedding")[0]))
-        near = vectors.select("vec_id", "embedding").mapInArrow(_near(part.column("vec_id").to_numpy(), q, k), "query_id long, vec_id long, similarity double")
+        wants = None if same is None else part.column("same").combine_chunks()
+        near = vectors.select(*cols).mapInArrow(_near(part.column("vec_id").to_numpy(), q, k, wants), "query_id long, vec_id long, similarity double")
         found = near if found is None else found.unionByName(near)
     if found is None:
         found = vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity")).limit(0)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def ladder(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
+    """query_id, vec_id, similarity, rank, strategy: up to k neighbours above the highest threshold of LADDER that any of them reaches;
+    one row without neighbour and with no_match where none does. The rungs' results are nested, so one search serves all."""
+    near = knn(vectors, queries, k, same=same).withColumn("_best", F.max("similarity").over(Window.partitionBy("query_id")))
+    rung = lambda value: F.coalesce(*(F.when(F.col("_best") >= t, value(t, name)) for t, name in LADDER))
+    found = near.where(F.col("similarity") >= rung(lambda t, _: F.lit(t))).withColumn("strategy", rung(lambda _, name: F.lit(name))).drop("_best")
+    asked = queries.where("vec_id is not null").select(F.col("vec_id").alias("query_id")).distinct()
+    return asked.join(found, "query_id", "left").withColumn("strategy", F.coalesce("strategy", F.lit("no_match")))

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tessera.plans import contract, records, tables  # noqa: F401
+from tessera.plans import contract, lookups, records, tables  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
