@@ -46,6 +46,10 @@ OFTEN, ORDER_BOUND = 16, 1 << 18
 ORDER_ROUNDS, AHEAD = 1, 4
 #: Growth of the number of pivots from round to round.
 WIDER = 16
+#: Rows of a region that one task compares with the region's pivots; the pivots go to each of the parts.
+SPLIT = 1024
+#: Regions that a join may broadcast, three longs each: some 32 MB on each executor. Above it the join shuffles.
+BROADCAST_REGIONS = 500_000
 #: Bits that bound how much two sets differ; those that the rows of a region hold, as longs, before a pair exists.
 PARITY, ROW_BITS = 1024, 128
 SIGNS = [f"w{i}" for i in range(ROW_BITS // 64)]
@@ -238,21 +242,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     while True:
         own = live.drop("comp") if labels is None else live.drop("comp", "m", "first", "u").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left")
         own = own.withColumn("comp", F.coalesce("c", "doc_id") if labels is not None else F.col("doc_id")).select("pivot", "doc_id", "n", "place", *SIGNS, "comp", draw)
-        mixed = own.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("u", "doc_id")).alias("first")).where((F.col("lo") != F.col("hi")) & (F.col("m") > done)).select("pivot", "m", "first")  # in smaller ones all were pivots
-        before, stored = stored, written(own.join(mixed, "pivot"), "jaccard-live")
-        discard(before)
+        mixed = own.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("u", "doc_id")).alias("first")).where((F.col("lo") != F.col("hi")) & (F.col("m") > done))  # in smaller ones all were pivots
+        mixed = written(mixed.select("pivot", "m", F.col("first.doc_id").alias("first")), "jaccard-mixed")
+        before, stored = stored, written(own.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_REGIONS else mixed, "pivot"), "jaccard-live")
+        discard(before, mixed)
         live = stored
         most = live.agg(F.max("m")).head()[0]
         if most is None:
             break
-        chosen = F.col("doc_id") == F.col("first.doc_id") if share == 1 else (F.col("u") * F.col("m") < share) & (F.col("u") * F.col("m") >= share // WIDER * (share > WIDER))
-        p = live.where(chosen).select("pivot", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"), F.col("u").alias("ub"), *(F.col(w).alias(f"{w}b") for w in SIGNS))
-        x = live.select("pivot", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"), F.col("u").alias("ua"), *(F.col(w).alias(f"{w}a") for w in SIGNS))
+        chosen = F.col("doc_id") == F.col("first") if share == 1 else (F.col("u") * F.col("m") < share) & (F.col("u") * F.col("m") >= share // WIDER * (share > WIDER))
+        parts = F.ceil(F.col("m") / SPLIT).cast("int")
+        p = live.where(chosen).select("pivot", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"), F.col("u").alias("ub"), *(F.col(w).alias(f"{w}b") for w in SIGNS))
+        x = live.select("pivot", F.pmod(F.hash("doc_id"), parts).alias("part"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"), F.col("u").alias("ua"), *(F.col(w).alias(f"{w}a") for w in SIGNS))
         least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))  # shingles that a linked pair has in common
         near = (F.col("ca") != F.col("cb")) & ((F.col("ub") < F.col("ua")) | ((F.col("ub") == F.col("ua")) & (F.col("b") < F.col("a"))))
         near &= (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
         near &= (100 + percent) * sum(F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in SIGNS) <= (100 - percent) * (F.col("na") + F.col("nb"))
-        met = written(x.join(p, "pivot").where(near).select("a", "b").distinct(), "jaccard-pairs")
+        met = written(x.join(p, ["pivot", "part"]).where(near).select("a", "b").distinct(), "jaccard-pairs")
         bits = points.where("n > 0").select("doc_id", "n", "bits")
         near = met.join(bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ys")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xs")), "a")
         pairs = written(near.select("a", "b", "na", "nb", "xs", "ys").mapInArrow(_close(percent), "a long, b long"), "jaccard-close")
