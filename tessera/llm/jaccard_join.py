@@ -48,8 +48,8 @@ ORDER_ROUNDS, AHEAD = 1, 4
 WIDER = 16
 #: Rows of a region that one task compares with the region's pivots; the pivots go to each of the parts.
 SPLIT = 1024
-#: Regions that a join may broadcast, three longs each: some 32 MB on each executor. Above it the join shuffles.
-BROADCAST_REGIONS = 500_000
+#: Regions that a join may broadcast, three longs each: some 8 MB on each executor. Above it the join shuffles.
+BROADCAST_REGIONS = 100_000
 #: Bits that bound how much two sets differ; those that the rows of a region hold, as longs, before a pair exists.
 PARITY, ROW_BITS = 1024, 128
 SIGNS = [f"w{i}" for i in range(ROW_BITS // 64)]
