@@ -166,7 +166,7 @@ def _cut(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray, at: int) -> int:
     return last
 
 
-def spans(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACES, table: np.ndarray = FOLDED, size: int = 1 << 20, kinds: np.ndarray | None = None):
+def spans(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACES, table: np.ndarray = FOLDED, size: int = 1 << 18, kinds: np.ndarray | None = None):
     """Maximal runs of non-separator bytes within the rows: (start, end, 64-bit hash). Works through slices of
     about `size` bytes, so temporary memory doesn't depend on the batch or the length of a text. With kinds, runs are cut
     between two bytes of different kinds above 0, and between two bytes of kind 3."""
@@ -190,7 +190,7 @@ def spans(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACES, table:
         first[cut] = inside[cut]
         last[cut - 1] = inside[cut - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        n = 1 << max(20, (len(d)).bit_length())
+        n = 1 << max(19, len(d).bit_length())
         power, inverse = powers(n)
         c = np.zeros(len(d) + 1, dtype=np.uint64)
         np.cumsum(table[d] * power[: len(d)], out=c[1:])

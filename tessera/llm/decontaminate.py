@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shingles, texts, without, words, written
+from .common import pieces, release, shingles, texts, without, words, written
 
 BITS = 22
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long"
@@ -56,6 +56,7 @@ def _index(sets: list[np.ndarray], percent: int):
 
 def _search(ids: list[int], sets: list[np.ndarray], k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         values, items, need, bits = _index(sets, percent)
         least = need.min()
         for batch in batches:
