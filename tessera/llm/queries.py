@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, katz, language, line_dedup, pii, token_files, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, katz, language, line_dedup, pii, resample, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_token_files": token_files.op9_token_files,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_resample": resample.op11_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
+    return {"op3_decontaminate": decontaminate.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL, "op11_resample": resample.OP11_SQL}
