@@ -117,7 +117,6 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-BASE = 0xD1342543DE82EF95
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NEWLINES = np.zeros(256, dtype=bool)
@@ -129,15 +128,10 @@ STEP = constants(16, 2) | np.uint64(1)
 
 
 @lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64, for i below n."""
-
-    def run(x: int) -> np.ndarray:
-        p = np.full(n, x, dtype=np.uint64)
-        p[0] = 1
-        return np.multiply.accumulate(p)
-
-    return run(BASE), run(pow(BASE, -1, 1 << 64))
+def factors(n: int) -> np.ndarray:
+    """An odd factor for each place in a word, for n places. They are unrelated to each other: with powers of a base, words of two
+    letters that are each other with the letters swapped could be equal in every base."""
+    return constants(n, 3) | np.uint64(1)
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,12 +184,12 @@ def spans(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACES, table:
         first[cut] = inside[cut]
         last[cut - 1] = inside[cut - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        n = 1 << max(19, len(d).bit_length())
-        power, inverse = powers(n)
-        c = np.zeros(len(d) + 1, dtype=np.uint64)
-        np.cumsum(table[d] * power[: len(d)], out=c[1:])
-        h = (c[e] - c[s]) * inverse[s]
-        h += (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        length = e - s
+        begin = np.cumsum(length) - length
+        factor = factors(1 << max(10, int(length.max(initial=0)).bit_length()))
+        place = np.arange(begin[-1] + length[-1] if len(s) else 0) - np.repeat(begin, length)
+        h = np.add.reduceat(table[d[inside]] * factor[place], begin) if len(s) else np.zeros(0, np.uint64)
+        h += length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         starts.append(s + a)
         ends.append(e + a)
         hashes.append(mix(h))
