@@ -220,15 +220,62 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def equal_sets(points: DataFrame) -> DataFrame:
+    """(doc_id, rep): the documents whose set another one has, too, with the smallest of them."""
+    groups = points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    several = written(groups.where("copies > 1").select("point", "rep"), "jaccard-copies")
+    member = points.where("n > 0").select("doc_id", "point").join(several, "point")
+    return written(member.where("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-members")
+
+
+def named(points: DataFrame, copies: DataFrame, labels: DataFrame | None, rows: DataFrame, plain: bool) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, from the labels of the sets; rows and plain are those of keyed()."""
+    # only a document with a copy or a link needs its name looked up
+    out = points.select("doc_id", F.col("n").alias("n_shingles")).join(copies.withColumnRenamed("rep", "point_id"), "doc_id", "left")
+    out = out.withColumn("point_id", F.coalesce("point_id", "doc_id"))
+    if labels is not None:
+        out = out.join(labels.select(F.col("v").alias("point_id"), "c"), "point_id", "left").withColumn("point_id", F.coalesce("c", "point_id"))
+    out = out.select("doc_id", "n_shingles", F.col("point_id").alias("component_id"))
+    if plain:
+        return out
+    out = written(out.withColumnsRenamed({"doc_id": "key", "component_id": "component"}).join(rows.select("doc_id", "key"), "key"), "jaccard-keys")
+    return out.join(out.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "n_shingles", "component_id")
+
+
+def confirmed(met: DataFrame, points: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of met that link: those whose bits allow it, then by the full sets. points: doc_id, n, bits."""
+    bits = points.where("n > 0").select("doc_id", "n", "bits")
+    near = met.join(bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ys")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xs")), "a")
+    pairs = written(near.select("a", "b", "na", "nb", "xs", "ys").mapInArrow(_close(percent), "a long, b long"), "jaccard-close")
+    # the texts of the documents in this round's pairs alone: smaller than their sets, which each task makes for itself
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-paired")
+    some = only(source, ids, "doc_id")
+    full = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("ys")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("xs")), "a")
+    links = written(full.select("a", "b", "xs", "ys").mapInArrow(_linked(k, percent), "a long, b long"), "jaccard-links")
+    discard(pairs, ids)
+    return links
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(v, c), the component of every document that has a link so far, after more links."""
+    if labels is not None:
+        name = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c)).alias(c)
+        links = links.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left").select(name("a"), name("b")).distinct()
+    if not links.head(1):
+        return labels
+    new = smallest_labels(links)
+    if labels is not None:
+        moved = labels.join(new.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+        new = moved.unionByName(new.join(labels.select("v"), "v", "left_anti"))
+    return written(new, "jaccard-labels")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     rows, plain = keyed(docs)
     source = rows.select(F.col("key").alias("doc_id"), "text")
     points = written(source.mapInArrow(_signatures(k, percent), ", ".join(f"{w} long" for w in SIGNS) + ", doc_id long, n long, bits binary, point binary, head array<long>"), "jaccard-points")
-    groups = points.where("n > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    several = written(groups.where("copies > 1").select("point", "rep"), "jaccard-copies")
-    member = points.where("n > 0").select("doc_id", "point").join(several, "point")
-    copies = written(member.where("doc_id <> rep").select("doc_id", "rep").distinct(), "jaccard-members")
+    copies = equal_sets(points)
 
     first = without(source, copies.select("doc_id"), "doc_id")
     late, rank = pivot_order(points.select(F.explode("head").alias("s")), first, k, percent)
@@ -259,38 +306,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         near &= (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
         near &= (100 + percent) * sum(F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in SIGNS) <= (100 - percent) * (F.col("na") + F.col("nb"))
         met = written(x.join(p, ["pivot", "part"]).where(near).select("a", "b").distinct(), "jaccard-pairs")
-        bits = points.where("n > 0").select("doc_id", "n", "bits")
-        near = met.join(bits.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ys")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xs")), "a")
-        pairs = written(near.select("a", "b", "na", "nb", "xs", "ys").mapInArrow(_close(percent), "a long, b long"), "jaccard-close")
-        # the texts of the documents in this round's pairs alone: smaller than their sets, which each task makes for itself
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-paired")
-        some = only(source, ids, "doc_id")
-        full = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("ys")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("xs")), "a")
-        links = written(full.select("a", "b", "xs", "ys").mapInArrow(_linked(k, percent), "a long, b long"), "jaccard-links")
-        discard(met, pairs, ids)
-        if labels is not None:
-            name = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c)).alias(c)
-            links = links.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left").select(name("a"), name("b")).distinct()
-        if links.head(1):
-            new = smallest_labels(links)
-            if labels is not None:
-                moved = labels.join(new.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
-                new = moved.unionByName(new.join(labels.select("v"), "v", "left_anti"))
-            labels = written(new, "jaccard-labels")
+        links = confirmed(met, points, source, k, percent)
+        discard(met)
+        labels = joined(labels, links)
         if share >= most:
             break
         share, done = share * WIDER, share
 
-    # only a document with a copy or a link needs its name looked up
-    out = points.select("doc_id", F.col("n").alias("n_shingles")).join(copies.withColumnRenamed("rep", "point_id"), "doc_id", "left")
-    out = out.withColumn("point_id", F.coalesce("point_id", "doc_id"))
-    if labels is not None:
-        out = out.join(labels.select(F.col("v").alias("point_id"), "c"), "point_id", "left").withColumn("point_id", F.coalesce("c", "point_id"))
-    out = out.select("doc_id", "n_shingles", F.col("point_id").alias("component_id"))
-    if plain:
-        return out
-    out = written(out.withColumnsRenamed({"doc_id": "key", "component_id": "component"}).join(rows.select("doc_id", "key"), "key"), "jaccard-keys")
-    return out.join(out.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "n_shingles", "component_id")
+    return named(points, copies, labels, rows, plain)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

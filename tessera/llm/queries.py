@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, katz, language, lexical, line_dedup, pii, resample, token_files, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, katz, language, lexical, line_dedup, lsh_forest, pii, resample, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_resample": resample.op11_resample,
         "op12_lexical": lexical.op12_lexical,
+        "op13_lsh_forest": lsh_forest.op13_lsh_forest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL, "op11_resample": resample.OP11_SQL, "op12_lexical": lexical.OP12_SQL}
+    return {"op3_decontaminate": decontaminate.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL, "op11_resample": resample.OP11_SQL, "op12_lexical": lexical.OP12_SQL, "op13_lsh_forest": lsh_forest.OP13_SQL}
