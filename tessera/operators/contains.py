@@ -18,15 +18,18 @@ def _grams(c: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
 
 
-def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """(needle, text), each pair once, where the text contains the needle. Null and empty needles hold nowhere."""
-    held = texts.where(F.col(text) != "").select(text).distinct()
-    grams = held.select(text, F.explode(F.array_distinct(F.concat(*(_grams(F.col(text), n) for n in range(1, GRAM + 1))))).alias("_gram"))
+def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, needle, text), each pair once, where the text contains the needle and both have equal values of the columns `by`. Null and
+    empty needles hold nowhere. Gram rows carry a hash of the text; a pair is settled on the texts, so equal hashes do no harm."""
+    held = texts.where(F.col(text) != "").select(*by, text).distinct().withColumn("_text_id", F.xxhash64(text))
+    grams = held.select(*by, "_text_id", F.explode(F.array_distinct(F.concat(*(_grams(F.col(text), n) for n in range(1, GRAM + 1))))).alias("_gram"))
     own = F.when(F.length(needle) < GRAM, F.array(needle)).otherwise(_grams(F.col(needle), GRAM))
-    asked = needles.where(F.col(needle) != "").select(needle).distinct().select(needle, F.explode(own).alias("_gram"))
-    counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = asked.join(counts, "_gram").groupBy(needle).agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    return rarest.join(grams, "_gram").where(F.col(text).contains(F.col(needle))).select(needle, text)
+    wanted = needles.where(F.col(needle) != "").select(*by, needle).distinct()
+    asked = wanted.select(*by, needle, F.explode(own).alias("_gram"))
+    counts = grams.groupBy(*by, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(counts, [*by, "_gram"]).groupBy(*by, needle).agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    met = rarest.join(grams, [*by, "_gram"]).select(*by, needle, "_text_id")
+    return met.join(held, [*by, "_text_id"]).where(F.col(text).contains(F.col(needle))).select(*by, needle, text)
 
 
 def _words(c: Column) -> Column:
