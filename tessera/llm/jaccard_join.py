@@ -48,6 +48,8 @@ ORDER_ROUNDS, AHEAD = 1, 4
 WIDER = 16
 #: Rows of a region that one task compares with the region's pivots; the pivots go to each of the parts.
 SPLIT = 1024
+#: Edges of a file of the tables that components are found in.
+EDGES = 200_000
 #: Regions that a join may broadcast, three longs each: some 8 MB on each executor. Above it the join shuffles.
 BROADCAST_REGIONS = 100_000
 #: Bits that bound how much two sets differ; those that the rows of a region hold, as longs, before a pair exists.
@@ -207,14 +209,16 @@ def pivot_order(heads: DataFrame, source: DataFrame, k: int, percent: int) -> tu
 
 
 def smallest_labels(edges: DataFrame) -> DataFrame:
-    """(v, c): the smallest vertex that each vertex of the edges (a, b) reaches: labels spread to neighbours, then jump."""
+    """(v, c): the smallest vertex that each vertex of the edges (a, b) reaches: labels spread to neighbours, then jump. Tables have a
+    file for some EDGES of them, so that the rounds over few edges are short."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
+    parts = 1 + both.count() // EDGES
+    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")).coalesce(parts), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("near"))
         step = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"))
         jump = step.join(labels.select(F.col("v").alias("c"), F.col("c").alias("far")), "c", "left").select("v", "old", F.least("c", F.coalesce("far", "c")).alias("c"))
-        new = written(jump, "labels")
+        new = written(jump.coalesce(parts), "labels")
         labels = new.select("v", "c")
         if not new.where("old <> c").head(1):
             return labels

@@ -4,12 +4,12 @@ A tree of the forest orders all documents by a signature of MinHash values of th
 whose sets have similarity t agree in the first d values of a tree with probability t**d; a forest of depth d has so many trees
 that a linked pair agrees in none of them with a probability below MISS (22 trees of 4 values for 0.85).
 
-* Neighbours. The signatures of all trees are sorted by ranges of (region, rest of the signature, document), where a region is a tree
-  with the first d values, so a region of any size is spread over tasks. Each document's neighbour in an order is a candidate, first
-  the one with the longest common prefix in any tree, then those that are still in another component. This joins a group of
-  near copies with about one comparison a member.
+* Orders. The signatures of all trees are sorted by ranges of (region, rest of the signature, document), where a region is a tree
+  with the first d values, so a region of any size is spread over tasks. A document is compared with the smallest of the documents
+  that begin its regions, which joins a group of near copies by one comparison a member.
 * Regions. Where a region still holds more than one component, its documents outside its largest component are compared with
-  all of it, if they are at most FEW. Regions with more go deeper: their documents, and only these, get a forest of their own
+  all of it, if they are at most FEW. In a region with more a document is compared with its neighbour in the order, with which it
+  has the longest prefix in common, and the region goes deeper: its documents, and only these, get a forest of their own
   with DEEPER values more and the trees that this takes, in which a dense region falls apart; so depth adapts to the region.
   In the last forest each region is compared in whole, so nothing is left out. Pairs of one component are never compared.
 
@@ -24,6 +24,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -40,9 +41,12 @@ MISS = 1e-7
 #: Values of the regions of the first forest; how many more the next ones have; how many a signature has after those of its region.
 DEPTH, DEEPER, TAIL, FORESTS = 4, 4, 4, 3
 #: Documents outside a region's largest component that are compared with all of the region.
-FEW = 64
-#: Rows of a region that one task compares with those few.
-SPLIT = 4096
+FEW = 1024
+#: Rows of a region that one task compares with those few; mixed regions that a join may broadcast, some 4 MB.
+SPLIT, BROADCAST_REGIONS = 4096, 100_000
+#: Bits that bound how much two sets differ and that a row carries, as longs, so that few pairs come to exist.
+ROW_BITS = 256
+SIGNS = [f"w{i}" for i in range(ROW_BITS // 64)]
 
 
 def trees(depth: int, percent: int) -> int:
@@ -69,16 +73,16 @@ def minhashes(sets: list[np.ndarray], depth: int, percent: int) -> Iterator[tupl
 
 
 def _points(k: int):
-    """(doc_id, n, bits, point) of each text, as in the Jaccard join."""
-    import hashlib
+    """(doc_id, n, bits, point, signs) of each text, as in the Jaccard join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for b in pieces(batch, "text"):
                 sets = shingle_sets(b.column("text"), k)
+                signs = np.frombuffer(b"".join(parity(x, ROW_BITS) for x in sets), np.int64).reshape(len(sets), len(SIGNS))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in sets], pa.int64()), "bits": pa.array([parity(x, PARITY) for x in sets], pa.binary()),
+                    **{w: pa.array(signs[:, i]) for i, w in enumerate(SIGNS)}, "doc_id": b.column("doc_id"), "n": pa.array([len(x) for x in sets], pa.int64()), "bits": pa.array([parity(x, PARITY) for x in sets], pa.binary()),
                     "point": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                 })
 
@@ -102,47 +106,36 @@ def _signatures(k: int, depth: int, percent: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows those whose region has another row, with the document before each in its region and the length of the common
-    prefix; the first and the last region of a task may go on in others, so their rows stay in any case."""
-    last: tuple | None = None  # the row before this batch, not given out yet, and whether it is certain to stay
+    """Of sorted rows those whose region has another row, with the document before each in its region, which has the longest prefix
+    in common with it or with the next, and with the region's first document in this task. The first and the last region of a task
+    may go on in others, so their rows stay in any case."""
+    last: tuple | None = None  # the row before this batch, not given out yet: region, doc, stays, prev, has, lead
     for b in batches:
         if not b.num_rows:
             continue
-        region, tail, doc = (b.column(c).to_numpy().astype(np.int64) for c in ("region", "tail", "doc_id"))
+        region, doc = (b.column(c).to_numpy().astype(np.int64) for c in ("region", "doc_id"))
         edge = last is None
         if last is not None:
-            region, tail, doc = (np.concatenate([[x], y]) for x, y in zip(last[:3], (region, tail, doc), strict=True))
+            region, doc = (np.concatenate([[x], y]) for x, y in zip(last[:2], (region, doc), strict=True))
         same = region[1:] == region[:-1]
-        stay = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        stay[0] |= edge or last[3]
-        prev = np.concatenate([[-1], np.where(same, doc[:-1], -1)])
         has = np.concatenate([[False], same])
-        lcp = np.concatenate([[0], np.where(same, _common(tail[1:], tail[:-1]), 0)])
-        if last is not None:  # what was known of the row before
-            prev[0], has[0], lcp[0] = last[4:]
-        out = np.arange(len(doc) - 1)
-        yield _rows(region, doc, prev, has, lcp, out[stay[:-1]])
-        last = (region[-1], tail[-1], doc[-1], bool(stay[-1]), prev[-1], has[-1], lcp[-1])
+        stay = has | np.concatenate([same, [False]])
+        prev = np.concatenate([[-1], np.where(same, doc[:-1], -1)])
+        lead = doc[np.maximum.accumulate(np.where(has, 0, np.arange(len(doc))))]
+        if last is None:
+            stay[region == region[0]] = True
+        else:
+            lead[np.cumsum(~has) == 1] = last[5]
+            stay[0] |= last[2]
+            prev[0], has[0] = last[3:5]
+        yield _rows(region, doc, prev, has, lead, np.flatnonzero(stay[:-1]))
+        last = (region[-1], doc[-1], bool(stay[-1] or edge and region[-1] == region[0]), prev[-1], has[-1], lead[-1])
     if last is not None:
-        yield _rows(*(np.array([x]) for x in (last[0], last[2], *last[4:])), np.arange(1))
-
-
-def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many leading 16-bit values of two tails are equal."""
-    d = (x ^ y).view(np.uint64)
-    return sum(((d >> np.uint64(64 - 16 * j)) == 0).astype(np.int64) for j in range(1, TAIL)) + (d == 0)
+        yield _rows(*(np.array([x]) for x in (*last[:2], *last[3:])), np.arange(1))
 
 
-def _rows(region, doc, prev, has, lcp, pick) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"region": pa.array(region[pick]), "doc_id": pa.array(doc[pick]), "prev": pa.array(prev[pick], mask=~has[pick].astype(bool)), "lcp": pa.array(lcp[pick])})
-
-
-def _unlike(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) of different components."""
-    if labels is None:
-        return pairs
-    out = pairs.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", "left")
-    return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _rows(region, doc, prev, has, lead, pick) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"region": pa.array(region[pick]), "doc_id": pa.array(doc[pick]), "prev": pa.array(prev[pick], mask=~has[pick].astype(bool)), "lead": pa.array(lead[pick])})
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -150,46 +143,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows, plain = keyed(docs)
     source = rows.select(F.col("key").alias("doc_id"), "text")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    points = written(source.mapInArrow(_points(k), "doc_id long, n long, bits binary, point binary"), "forest-points")
+    points = written(source.mapInArrow(_points(k), ", ".join(f"{w} long" for w in SIGNS) + ", doc_id long, n long, bits binary, point binary"), "forest-points")
     copies = equal_sets(points)
-    sizes = points.where("n > 0").select("doc_id", "n")
-    fits = lambda pairs: pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    known = points.where("n > 0").select("doc_id", "n", *SIGNS)
     labels, live = None, without(source, copies.select("doc_id"), "doc_id")
+
+    def settle(labels: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        """The components after those of the pairs (x, y) that link."""
+        met = written(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "forest-pairs")
+        if met.head(1):
+            labels = joined(labels, confirmed(met, points, source, k, percent))
+        discard(met)
+        return labels
+
+    as_ = lambda df, x: df.withColumnsRenamed({"doc_id": x, "n": f"n{x}", "comp": f"c{x}"} | {w: f"{w}{x}" for w in SIGNS})
+    apart = sum(F.bit_count(F.col(f"{w}x").bitwiseXOR(F.col(f"{w}y"))) for w in SIGNS)
+    near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * apart <= (100 - percent) * (F.col("nx") + F.col("ny")))
     for forest in range(FORESTS):
-        depth = DEPTH + forest * DEEPER
+        depth, last = DEPTH + forest * DEEPER, forest == FORESTS - 1
         signs = written(live.mapInArrow(_signatures(k, depth, percent), "region long, tail long, doc_id long"), "forest-signatures")
         by = ["region", "tail", "doc_id"]
-        order = signs.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-        orders = written(order.mapInArrow(_neighbours, "region long, doc_id long, prev long, lcp long"), "forest-orders")
+        order = signs.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_neighbours, "region long, doc_id long, prev long, lead long")
+        # one row a document, with its place in each tree: as many as there are trees at most
+        orders = order.groupBy("doc_id").agg(F.collect_list(F.struct("region", "prev")).alias("places"), F.min("lead").alias("lead"))
+        orders = written(orders.join(known, "doc_id"), "forest-orders")
         discard(signs)
 
-        pairs = orders.where("prev is not null").select(F.greatest("doc_id", "prev").alias("a"), F.least("doc_id", "prev").alias("b"), "lcp").groupBy("a", "b").agg(F.max("lcp").alias("lcp"))
-        pairs = written(fits(_unlike(pairs, labels)).join(pairs, ["a", "b"]), "forest-neighbours")
-        longest = pairs.groupBy("a").agg(F.max_by("b", F.struct("lcp", "b")).alias("b"))
-        labels = joined(labels, confirmed(longest.select("a", "b"), points, source, k, percent))
-        labels = joined(labels, confirmed(_unlike(pairs.join(longest, ["a", "b"], "left_anti").select("a", "b"), labels), points, source, k, percent))
+        # the smallest of the first documents of its regions: most of a group meet one of a few
+        ask = as_(orders.where("lead <> doc_id").drop("places"), "x").withColumnRenamed("lead", "y")
+        labels = settle(labels, ask.join(as_(known, "y"), "y").where(near))
 
-        # regions with several components: the documents outside the largest one
-        of = orders.select("region", "doc_id")
-        of = of.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left") if labels is not None else of.withColumn("c", F.lit(None).cast("long"))
-        of = of.select("region", "doc_id", F.coalesce("c", "doc_id").alias("comp"))
+        # regions that hold several components still
+        of = orders.drop("lead").withColumn("comp", F.col("doc_id"))
+        if labels is not None:
+            of = of.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("c", "doc_id")).drop("c")
+        of = of.withColumn("p", F.explode("places")).select("p.region", "p.prev", "doc_id", "n", "comp", *SIGNS)
         by_comp = of.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"))
-        mixed = by_comp.groupBy("region").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top")).where("m > top.m").select("region", "m", F.col("top.comp").alias("most"), (F.col("m") - F.col("top.m")).alias("others"))
-        mixed = written(mixed, "forest-mixed")
-        members = written(of.join(mixed, "region"), "forest-members")
-        last = forest == FORESTS - 1
-        within = F.lit(True) if last else F.col("others") <= FEW
+        mixed = by_comp.groupBy("region").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top")).where("m > top.m")
+        mixed = written(mixed.select("region", "m", F.col("top.comp").alias("most"), ((F.col("m") - F.col("top.m") <= FEW) | F.lit(last)).alias("few")), "forest-mixed")
+        several, dense = mixed.agg(F.count(F.lit(1)), F.count_if(~F.col("few"))).head()
+        if not several:
+            discard(orders, mixed)
+            break
+        here = written(of.join(F.broadcast(mixed) if several <= BROADCAST_REGIONS else mixed, "region"), "forest-members")
+        # the documents outside the largest component with all of the region; of dense regions the neighbours alone, the rest goes deeper
         parts_of = F.ceil(F.col("m") / SPLIT).cast("int")
-        few = members.where(within & (F.col("comp") != F.col("most"))).select("region", F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("part"), F.col("doc_id").alias("x"), F.col("comp").alias("cx"), "most")
-        all_of = members.where(within).select("region", F.pmod(F.hash("doc_id"), parts_of).alias("part"), F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
-        few, all_of = few.join(sizes.withColumnsRenamed({"doc_id": "x", "n": "nx"}), "x"), all_of.join(sizes.withColumnsRenamed({"doc_id": "y", "n": "ny"}), "y")
-        once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") > F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        met = few.join(all_of, ["region", "part"]).where(once).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        met = written(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "forest-pairs")
-        labels = joined(labels, confirmed(met, points, source, k, percent))
-        deeper = None if last else written(members.where(~within).select("doc_id").distinct(), "forest-deeper")
-        discard(orders, mixed, members, pairs, met)
-        if last or not deeper.head(1):
+        own = here.where("few").drop("prev")
+        x = as_(own.where("comp <> most").withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1))).drop("m", "few"), "x")
+        y = as_(own.withColumn("part", F.pmod(F.hash("doc_id"), parts_of)).drop("m", "few", "most"), "y")
+        pairs = x.join(y, ["region", "part"]).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") > F.col("y"))) & near).select("x", "y")
+        if dense:
+            beside = here.where(~F.col("few") & F.col("prev").isNotNull()).select("region", F.col("prev").alias("y"), *(F.col(c) for c in ("doc_id", "n", "comp", *SIGNS)))
+            pairs = pairs.unionByName(as_(beside, "x").join(as_(here.where(~F.col("few")).drop("prev", "m", "few", "most"), "y"), ["region", "y"]).where((F.col("cx") != F.col("cy")) & near).select("x", "y"))
+        labels = settle(labels, pairs)
+        deeper = written(here.where(~F.col("few")).select("doc_id").distinct(), "forest-deeper") if dense else None
+        discard(orders, mixed, here)
+        if deeper is None:
             break
         live = only(source, deeper, "doc_id")
     out = named(points, copies, labels, rows, plain)
