@@ -41,7 +41,7 @@ MISS = 1e-7
 #: Values of the regions of the first forest; how many more the next ones have; how many a signature has after those of its region.
 DEPTH, DEEPER, TAIL, FORESTS = 4, 4, 4, 3
 #: Documents outside a region's largest component that are compared with all of the region.
-FEW = 1024
+FEW = 256
 #: Rows of a region that one task compares with those few; mixed regions that a join may broadcast, some 4 MB.
 SPLIT, BROADCAST_REGIONS = 4096, 100_000
 #: Bits that bound how much two sets differ and that a row carries, as longs, so that few pairs come to exist.
