@@ -51,17 +51,6 @@ def top_k(pairs: DataFrame, query: str, order: list[Column], k: int) -> DataFram
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def year_or_brand(q: DataFrame, entries: DataFrame) -> DataFrame:
-    """Records (q_brand, q_year, ...) with the entries (brand, year, ...) of their brand and year, or of their brand where there is
-    none of that year. Give entries reduced to what the score depends on: then pairs grow with the records alone."""
-    b = entries.withColumn("b", F.upper(F.trim("brand")))
-    q = q.withColumn("b", F.upper(F.trim("q_brand")))
-    by_year = b.withColumn("q_year", F.col("year"))
-    near = q.join(by_year, ["b", "q_year"])
-    rest = q.join(by_year.select("b", "q_year").distinct(), ["b", "q_year"], "left_anti").join(b, "b")
-    return near.unionByName(rest)
-
-
 def tie_flags(pairs: DataFrame, query: str, score: str, weight: str, within: float = 0.05) -> DataFrame:
     """best, gap to the runner-up and number of candidates within `within` of the best, for each query. A row stands for
     `weight` candidates; candidates are summed by score first, so a query's list is as long as its different scores."""
@@ -86,10 +75,10 @@ def break_ties(candidates: DataFrame, query: str, within: float = 0.05) -> DataF
         F.count(F.lit(1)).alias("tied"), F.min_by("code", F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias("first"), F.count_if(exact).alias("exact"), F.min(F.when(exact, F.col("code"))).alias("exact_code"),
         *(two(c).alias(f"{c}s") for c in ("full", "y", "detail")), F.max("strength").alias("strongest"), *(top(c).alias(f"{c}_code") for c in ("full", "y", "strength", "detail")),
     )
-    second = lambda c: F.get(f"{c}s", 1)
+    best_of, second = (lambda c: F.get(f"{c}s", 0)), (lambda c: F.get(f"{c}s", 1))  # null where no candidate has one
     code = (
-        F.when(F.col("tied") == 1, F.col("first")).when(F.col("exact") == 1, F.col("exact_code")).when(F.round(F.col("fulls")[0] - second("full"), 6) >= 0.2, F.col("full_code"))
-        .when(F.col("ys")[0].isNotNull() & (second("y").isNull() | (second("y") < F.col("ys")[0])), F.col("y_code")).when(F.col("strongest") > 1.5, F.col("strength_code"))
-        .when(F.col("details")[0] > second("detail") * 1.2, F.col("detail_code")).otherwise(F.col("first"))
+        F.when(F.col("tied") == 1, F.col("first")).when(F.col("exact") == 1, F.col("exact_code")).when(F.round(best_of("full") - second("full"), 6) >= 0.2, F.col("full_code"))
+        .when(best_of("y").isNotNull() & (second("y").isNull() | (second("y") < best_of("y"))), F.col("y_code")).when(F.col("strongest") > 1.5, F.col("strength_code"))
+        .when(best_of("detail") > second("detail") * 1.2, F.col("detail_code")).otherwise(F.col("first"))
     )
     return g.select(query, "tied", code.alias("code"), (F.col("tied") > 1).alias("used"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import flow as L
 from tessera.operators import matching as M
 from tessera.operators.vectors import knn
 
@@ -82,12 +83,13 @@ SELECT query_id, code, round(s, 6) AS score, CASE WHEN round(s, 6) >= 0.9 THEN '
 """)
 def queue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The simple matcher: block on brand and year, on brand alone where there is none of the year; weighted score, best code,
-    decision. Entries that score alike by right meet a record once, with their least code."""
+    decision. Scored on distinct keys and distinct models."""
     parts = table(spark, sf_dir, "part")
-    pairs = M.year_or_brand(dirty(parts), catalogue(parts).groupBy("brand", "model", "year").agg(F.min("code").alias("code")))
-    s = M.queue_score(F.col("q_brand"), F.col("brand"), F.col("q_model"), F.col("model"), F.col("q_year"), F.col("year"))
-    best = M.top_k(pairs.select("query_id", "code", F.round(s, 6).alias("score")), "query_id", [F.desc("score"), F.col("code")], 1)
-    return best.select("query_id", "code", "score", M.decide(F.col("score"), M.Thresholds(0.9, 0.8)).alias("decision"))
+    records, keys, entries = dirty(parts), L.keys_of(dirty(parts)), L.entries_of(catalogue(parts))
+    p = L.with_model_scores(L.candidates(keys, entries), keys, entries, sm=T.similarity(F.col("q_model"), F.col("model"), 0.8))
+    score = F.round(0.4 * F.when(F.col("b") == "", 0.0).otherwise(1.0) + 0.4 * F.col("sm") + F.when(F.col("q_year") == F.col("year"), 0.2).otherwise(0.0), 6)
+    best = p.groupBy(*L.KEY).agg(F.min(F.struct((-score).alias("s"), "code")).alias("best")).select(*L.KEY, F.col("best.code").alias("code"), (-F.col("best.s")).alias("score"))
+    return L.back(records, best).where("code is not null").select("query_id", "code", "score", M.decide(F.col("score"), M.Thresholds(0.9, 0.8)).alias("decision"))
 
 
 @register(f"""
@@ -103,11 +105,11 @@ FROM r GROUP BY query_id
 def domain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain matcher: component scores, gap to the runner-up, tie set, confidence level."""
     parts = table(spark, sf_dir, "part")
-    pairs = M.year_or_brand(dirty(parts), catalogue(parts).groupBy("brand", "model", "year").agg(F.count(F.lit(1)).alias("n")))
-    sb, sm, sy = M.domain_scores(F.col("q_brand"), F.col("brand"), F.col("q_model"), F.col("model"), F.col("q_year"), F.col("year"))
-    scored = pairs.select("query_id", "n", F.round(0.4 * sb + 0.35 * sm + 0.15 * sy + F.lit(0.1) * 0.5, 6).alias("score"))
-    out = M.tie_flags(scored, "query_id", "score", "n")
-    return out.select("query_id", "best", F.round("gap", 6).alias("gap"), "tied", T.case_level(F.col("best"), 0.85, 0.65, 0.45).alias("level"))
+    records, keys, entries = dirty(parts), L.keys_of(dirty(parts)), L.entries_of(catalogue(parts))
+    p = L.with_model_scores(L.candidates(keys, entries), keys, entries, sm=T.similarity(F.col("q_model"), F.col("model"), 0.9))
+    score = F.round(0.4 * F.when(F.col("b") == "", 0.0).otherwise(1.0) + 0.35 * F.col("sm") + 0.15 * M.year_closeness(F.col("q_year"), F.col("year")) + F.lit(0.1) * 0.5, 6)
+    flags = M.tie_flags(p.select(F.struct(*L.KEY).alias("key"), "n", score.alias("score")), "key", "score", "n").select("key.*", "best", "gap", "tied")
+    return L.back(records, flags).where("best is not null").select("query_id", "best", F.round("gap", 6).alias("gap"), "tied", T.case_level(F.col("best"), 0.85, 0.65, 0.45).alias("level"))
 
 
 @register(f"""

@@ -24,6 +24,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a new folder of work_dir, for what several branches of a plan read."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A CSV sheet with a header, all columns text: UTF-8 where every file is, else Latin-1. Other suffixes raise ValueError: a
     spreadsheet reader isn't part of this library."""
