@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tessera.plans import checks, contract, fuzzy, lookups, matches, records, rows, states, tables, vectors  # noqa: F401
+from tessera.plans import cases, checks, contract, fuzzy, lookups, matches, records, rows, states, tables, vectors  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
