@@ -48,6 +48,8 @@ ORDER_ROUNDS, AHEAD = 1, 4
 WIDER = 16
 #: Rows of a region that one task compares with the region's pivots; the pivots go to each of the parts.
 SPLIT = 1024
+#: Bytes of text that a task hashes at a time.
+PIECE = 2 << 20
 #: Edges of a file of the tables that components are found in.
 EDGES = 200_000
 #: Regions that a join may broadcast, three longs each: some 8 MB on each executor. Above it the join shuffles.
@@ -102,7 +104,7 @@ def _signatures(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", PIECE):
                 sets = shingle_sets(b.column("text"), k)
                 n = np.array([len(x) for x in sets], dtype=np.int64)
                 size = window_size(n, percent)
@@ -133,7 +135,7 @@ def _taken_in(k: int, percent: int, late: np.ndarray, rank: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", PIECE):
                 found = [np.zeros(0, np.uint64)]
                 for x in shingle_sets(b.column("text"), k):
                     p = int(window_size(len(x), percent))
@@ -152,7 +154,7 @@ def _windows(k: int, percent: int, late: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for b in pieces(batch, "text"):
+            for b in pieces(batch, "text", PIECE):
                 sets = shingle_sets(b.column("text"), k)
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
                 n = np.array([len(x) for x in sets], dtype=np.int64)
@@ -176,7 +178,7 @@ def _linked(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in pieces(batch, "xs"):
+            for b in pieces(batch, "xs", PIECE):
                 (xs, i), (ys, j) = sets_of(b, "a", "xs"), sets_of(b, "b", "ys")
                 keep = []
                 for x, y in zip((xs[v] for v in i), (ys[v] for v in j), strict=True):

@@ -24,7 +24,7 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import EXACT, HELD, SPACES, buffers, spans
+from .common import EXACT, HELD, SPACES, buffers, release, spans
 
 #: Distinct chunks that a worker remembers, some 60 bytes each, and bytes of text that it works on at a time.
 REMEMBERED, PIECE = 300_000, 1 << 20
@@ -241,7 +241,7 @@ def worker_bpe(path: str) -> tuple[ForcedBoundaryBpe, ChunkCoder, Strings, Strin
     """This Python worker's encoder of a vocabulary with what it remembers from earlier tasks, the decimal strings of the
     ids, and the tokens' strings. One vocabulary at a time."""
     if path not in _WORKER:
-        _WORKER.clear()
+        release()  # also what this worker kept of other operators
         bpe = ForcedBoundaryBpe(path)
         _WORKER[path] = bpe, ChunkCoder(bpe), Strings({i: str(i) for i in bpe.names}), Strings(bpe.names)
     return _WORKER[path]
