@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,19 @@ NULL_WORDS = ("nan", "null", "none", "")
 ABSENT_WORDS = ("n/a", "na", "no aplica", "no disponible")
 STOP_WORDS = ("DE", "LA", "EL", "EN", "CON", "Y", "O", "DEL")
 
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+def _accents() -> tuple[str, str]:
+    """Latin letters that decompose into one letter and combining marks, with that letter for each; then the marks themselves."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and len(plain) == 1:
+            pairs.append((c, plain))
+    return "".join(c for c, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(p for _, p in pairs)
+
+
+#: Each letter of ACCENTED becomes the one at its place in PLAIN; those beyond its end, the marks, go.
+ACCENTED, PLAIN = _accents()
 
 
 def deburr(c: Column) -> Column:

@@ -42,11 +42,10 @@ YEAR = r"\b(?:19|20)[0-9]{2}\b"
 
 
 def expanded(c: Column) -> Column:
-    """Normalised text with its abbreviations written out, the longest first."""
-    c = T.normalize_text(c)
-    for short, long in ABBREVIATIONS.items():
-        c = F.regexp_replace(c, rf"\b{short}\b", long)
-    return T.collapse(c)
+    """Normalised text with its abbreviations written out. The text is cut at its words' bounds once and each word is looked up; no
+    abbreviation's long form holds another one, so one pass is enough."""
+    long = F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in kv))
+    return T.collapse(F.array_join(F.transform(F.split(T.normalize_text(c), r"\b"), lambda w: F.coalesce(F.element_at(long, w), w)), ""))
 
 
 def features(c: Column) -> dict[str, Column]:

@@ -40,13 +40,17 @@ def with_aliases(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     return out.withColumns({"canonical": F.coalesce("_name", column), "aliases": F.coalesce("_all", F.array().cast("array<string>"))}).drop("_key", "_name", "_all")
 
 
-def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, t, x): TF-IDF weights, tf * (ln((1 + n) / (1 + df)) + 1), of each row's words of two characters or more, by unit length."""
+def tfidf(df: DataFrame, key: str, text: str, terms: int = 1000) -> DataFrame:
+    """(key, t, x): TF-IDF weights, tf * (ln((1 + n) / (1 + df)) + 1), of each row's terms by unit length. Terms are the words of two characters
+    or more and the pairs of neighbours among them; the `terms` most frequent of the table count, of equal ones the first by name."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_]", " "), r"\s+", " ")), " "), lambda w: F.length(w) > 1)
-    f = df.select(key, F.explode(words).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("tf"))
+    w = df.select(key, words.alias("_w"))
+    two = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))
+    every = w.select(key, F.explode(F.concat("_w", F.when(F.size("_w") > 1, two).otherwise(F.array().cast("array<string>")))).alias("t"))
+    f = every.groupBy(key, "t").agg(F.count(F.lit(1)).alias("tf"))
     n = df.count()
-    d = f.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    x = f.join(d, "t").select(key, "t", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("x"))
+    d = f.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "t").limit(terms).drop("all")
+    x = f.join(F.broadcast(d), "t").select(key, "t", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("x"))  # `terms` rows
     length = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
     return x.join(length, key).select(key, "t", (F.col("x") / F.col("l")).alias("x"))
 

@@ -96,14 +96,14 @@ def export_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 SELECT o_orderkey, 'raw/' || strftime(o_orderdate, '%Y/%m') || '/case-' || o_custkey || '/att-1-' || sha256(o_orderkey::VARCHAR) || '.pdf' AS key, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp,
-  TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'no date' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS parsed, o_orderdate + INTERVAL 1 DAY > o_orderdate AS policy_ok FROM orders
+  TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'no date' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS parsed, o_orderdate::DATE + (o_custkey % 7 - 3)::INT > o_orderdate::DATE AS policy_ok FROM orders
 """)
 def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-addressed keys, stamps, and dates read back where they are dates."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey").cast("string")
     key = F.concat(F.lit("raw/"), F.date_format(d, "yyyy/MM"), F.lit("/case-"), F.col("o_custkey").cast("string"), F.lit("/att-1-"), F.sha2(k, 256), F.lit(".pdf"))
     parsed = F.when(F.col("o_orderkey") % 3 == 0, "no date").otherwise(F.date_format(d, "yyyy-MM-dd")).try_cast("date")
-    return table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"), F.date_format(d, "yyyyMMdd_HHmmss").alias("stamp"), parsed.alias("parsed"), (F.date_add(d, 1) > F.to_date(d)).alias("policy_ok"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"), F.date_format(d, "yyyyMMdd_HHmmss").alias("stamp"), parsed.alias("parsed"), (F.date_add(d, (F.col("o_custkey") % 7 - 3).cast("int")) > F.to_date(d)).alias("policy_ok"))
 
 
 @register("""
@@ -218,8 +218,9 @@ def profile_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""
 WITH {VEHICLES_SQL}, w AS (SELECT k, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS ws FROM v),
-u AS (SELECT k, unnest(list_filter(ws, lambda x: length(x) > 1)) AS t FROM w),
-f AS (SELECT k, t, count(*) AS tf FROM u GROUP BY ALL), d AS (SELECT t, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(*) AS n FROM v),
+y AS (SELECT k, list_filter(ws, lambda x: length(x) > 1) AS ws FROM w),
+u AS (SELECT k, unnest(ws) AS t FROM y UNION ALL SELECT k, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM y),
+f AS (SELECT k, t, count(*) AS tf FROM u GROUP BY ALL), d AS (SELECT t, count(*) AS df FROM f GROUP BY 1 ORDER BY sum(tf) DESC, t LIMIT 1000), n AS (SELECT count(*) AS n FROM v),
 x AS (SELECT k, t, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS x FROM f JOIN d USING (t), n), l AS (SELECT k, sqrt(sum(x * x)) AS l FROM x GROUP BY k)
 SELECT a.k, round(sum(a.x * b.x) / any_value(la.l * lb.l), 6) AS similarity FROM x a JOIN x b ON b.k = a.k + 1 AND b.t = a.t JOIN l la ON la.k = a.k JOIN l lb ON lb.k = a.k + 1 GROUP BY a.k
 """)
@@ -258,19 +259,21 @@ def message_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mails(customers: DataFrame) -> DataFrame:
     k, n = F.col("c_custkey"), F.upper(F.replace("c_name", F.lit("#"), F.lit(" ")))
     letters = F.translate(n, "0123456789", "ABCDEFGHIJ")
-    body = F.concat(F.when(k % 3 != 0, F.concat(F.lit("CLIENTE: "), letters)).otherwise("hola"), F.lit("\n"), F.when(k % 4 == 0, "RFC: ABC010203XY1").otherwise("sin dato"), F.lit("\nBROKER: Juan Perez\nCORREO: juan@x.com\n"), F.when(k % 5 == 0, "1. Toyota Hilux 2019 diesel\n").otherwise("- nada\n"), F.when(k % 7 == 0, "SINIESTROS: NO").when(k % 7 == 1, "con siniestros").otherwise(""))
+    year = (1990 + k % 40).cast("string")
+    lines = F.when(k % 5 == 0, F.concat(F.lit("1. Toyota  Hilux "), year, F.lit(" diesel\n* TOYOTA hilux "), year, F.lit(" DIESEL\n2) Ford Ranger 2012\n"))).when(k % 5 == 1, "Toyota corto\n").otherwise("- nada\n")
+    body = F.concat(F.when(k % 3 != 0, F.concat(F.lit("CLIENTE: "), letters)).otherwise("hola"), F.lit("\n"), F.when(k % 4 == 0, "RFC: ABC010203XY1").otherwise("sin dato"), F.lit("\n"), F.when(k % 8 != 3, "BROKER: ana  maria\n").otherwise(""), F.when(k % 9 != 4, F.concat(F.lit("CORREO: u"), k.cast("string"), F.lit("@x.com\n"))).otherwise(""), lines, F.when(k % 7 == 0, "SINIESTROS: NO").when(k % 7 == 1, "con siniestros").otherwise(""))
     return customers.select("c_custkey", F.when(k % 6 == 0, "Quote").when(k % 6 == 1, "Claim").when(k % 6 == 2, "renewal").otherwise("hello").alias("subject"), body.alias("body"))
 
 
 MAILS_SQL = """
 e AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Quote' WHEN 1 THEN 'Claim' WHEN 2 THEN 'renewal' ELSE 'hello' END AS subject,
-  CASE WHEN c_custkey % 3 <> 0 THEN 'CLIENTE: ' || translate(upper(replace(c_name, '#', ' ')), '0123456789', 'ABCDEFGHIJ') ELSE 'hola' END || chr(10) || CASE WHEN c_custkey % 4 = 0 THEN 'RFC: ABC010203XY1' ELSE 'sin dato' END || chr(10) || 'BROKER: Juan Perez' || chr(10) || 'CORREO: juan@x.com' || chr(10)
-  || CASE WHEN c_custkey % 5 = 0 THEN '1. Toyota Hilux 2019 diesel' || chr(10) ELSE '- nada' || chr(10) END || CASE c_custkey % 7 WHEN 0 THEN 'SINIESTROS: NO' WHEN 1 THEN 'con siniestros' ELSE '' END AS body FROM customer)"""
+  CASE WHEN c_custkey % 3 <> 0 THEN 'CLIENTE: ' || translate(upper(replace(c_name, '#', ' ')), '0123456789', 'ABCDEFGHIJ') ELSE 'hola' END || chr(10) || CASE WHEN c_custkey % 4 = 0 THEN 'RFC: ABC010203XY1' ELSE 'sin dato' END || chr(10) || CASE WHEN c_custkey % 8 <> 3 THEN 'BROKER: ana  maria' || chr(10) ELSE '' END || CASE WHEN c_custkey % 9 <> 4 THEN 'CORREO: u' || c_custkey || '@x.com' || chr(10) ELSE '' END
+  || CASE c_custkey % 5 WHEN 0 THEN '1. Toyota  Hilux ' || (1990 + c_custkey % 40) || ' diesel' || chr(10) || '* TOYOTA hilux ' || (1990 + c_custkey % 40) || ' DIESEL' || chr(10) || '2) Ford Ranger 2012' || chr(10) WHEN 1 THEN 'Toyota corto' || chr(10) ELSE '- nada' || chr(10) END || CASE c_custkey % 7 WHEN 0 THEN 'SINIESTROS: NO' WHEN 1 THEN 'con siniestros' ELSE '' END AS body FROM customer)"""
 
 
 @register(f"""WITH {MAILS_SQL}
-SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN array_to_string(list_transform(string_split(lower(trim(regexp_extract(body, '(?i)CLIENTE:[ \\t]*([A-Za-z \\t.]+)', 1))), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') END AS client_name, nullif(upper(regexp_extract(body, '(?i)RFC:\\s*([A-Za-z0-9]{{10,13}})', 1)), '') AS client_rfc, 'Juan Perez' AS broker_name,
-  'juan@x.com' AS broker_email, CASE lower(subject) WHEN 'quote' THEN 'fleet_quote' WHEN 'claim' THEN 'claim_report' WHEN 'renewal' THEN CASE WHEN contains(upper(body), 'SINIESTRO') THEN 'claim_report' ELSE 'policy_renewal' END ELSE CASE WHEN contains(upper(body), 'SINIESTRO') THEN 'claim_report' ELSE 'general_inquiry' END END AS kind,
+SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN array_to_string(list_transform(string_split(lower(trim(regexp_extract(body, '(?i)CLIENTE:[ \\t]*([A-Za-z \\t.]+)', 1))), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') END AS client_name, nullif(upper(regexp_extract(body, '(?i)RFC:\\s*([A-Za-z0-9]{{10,13}})', 1)), '') AS client_rfc, CASE WHEN c_custkey % 8 <> 3 THEN 'Ana Maria' END AS broker_name,
+  CASE WHEN c_custkey % 9 <> 4 THEN 'u' || c_custkey || '@x.com' END AS broker_email, CASE lower(subject) WHEN 'quote' THEN 'fleet_quote' WHEN 'claim' THEN 'claim_report' WHEN 'renewal' THEN CASE WHEN contains(upper(body), 'SINIESTRO') THEN 'claim_report' ELSE 'policy_renewal' END ELSE CASE WHEN contains(upper(body), 'SINIESTRO') THEN 'claim_report' ELSE 'general_inquiry' END END AS kind,
   CASE c_custkey % 7 WHEN 0 THEN 'NO' WHEN 1 THEN 'con siniestros' END AS losses FROM e""")
 def mail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client, broker, kind and losses of each mail."""
@@ -278,7 +281,7 @@ def mail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("c_custkey", *(c.alias(n) for n, c in V.mail_fields(F.col("body")).items()), V.mail_type(F.col("subject"), F.col("body")).alias("kind"), V.loss_history(F.col("body")).alias("losses"))
 
 
-@register(f"WITH {MAILS_SQL} SELECT c_custkey, 'TOYOTA HILUX 2019 DIESEL' AS vehicle, 1 AS position FROM e WHERE c_custkey % 5 = 0")
+@register(f"WITH {MAILS_SQL} SELECT c_custkey, 'TOYOTA HILUX ' || (1990 + c_custkey % 40) || ' DIESEL' AS vehicle, 1 AS position FROM e WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'FORD RANGER 2012', 2 FROM e WHERE c_custkey % 5 = 0")
 def mail_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a mail that look like vehicles, cleaned, each once in order."""
     return S.vehicle_lines(mails(table(spark, sf_dir, "customer")), "c_custkey", "body")

@@ -31,14 +31,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV sheet with a header, all columns text: UTF-8 where every file is, else Latin-1. Other suffixes raise ValueError: a
-    spreadsheet reader isn't part of this library."""
+def read_sheet(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV sheets with a header, all columns text. Each file is read as UTF-8 if all its rows are, else as Latin-1; files are split over
+    tasks, unless values may hold line ends (multi_line). Other suffixes raise ValueError: a spreadsheet reader isn't part of
+    this library."""
     if not path.lower().rstrip("/").endswith(".csv"):
         raise ValueError(f"no reader for {path}")
-    files = spark.read.format("binaryFile").load(path)
-    utf8 = files.where("not is_valid_utf8(cast(content as string))").isEmpty()
-    return spark.read.csv(path, header=True, encoding="UTF-8" if utf8 else "ISO-8859-1", multiLine=True)
+    raw = spark.read.csv(path, header=True, encoding="ISO-8859-1", multiLine=multi_line)  # a letter for each byte
+    columns = raw.columns
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"))
+    back = lambda c: F.encode(F.col(f"`{c}`"), "ISO-8859-1")
+    valid = F.lit(True)
+    for c in columns:
+        valid &= F.coalesce(F.is_valid_utf8(back(c).cast("string")), F.lit(True))
+    latin = rows.where(~valid).select("_file").distinct().withColumn("_latin", F.lit(True))  # at most a row for each file
+    out = rows.join(F.broadcast(latin), "_file", "left")
+
+    def name(c: str) -> str:
+        try:
+            return c.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return c
+
+    return out.select(*(F.when(F.col("_latin"), F.col(f"`{c}`")).otherwise(back(c).cast("string")).alias(name(c)) for c in columns))
 
 
 def dataset_path(insurer: str, registry: dict[str, str], default: str, root: str = "data") -> str:

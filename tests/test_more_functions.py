@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import fuzzy
+from tessera.functions import text as T
 from tessera.operators.vectors import knn
 from tessera.sources import files
 from tessera.streaming import stages
@@ -75,3 +76,23 @@ def test_stage_runs_once_for_each_message(spark, tmp_path):
 def test_knn_without_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (None, [1.0, 0.0]), (20, [1.0, 0.1])], "vec_id long, embedding array<double>")
     assert {(r.query_id, r.vec_id) for r in knn(v, v.where("vec_id % 20 = 0"), 5).collect()} == {(0, 20), (20, 0)}
+
+
+def test_sheets_of_two_encodings(spark, tmp_path):
+    (tmp_path / "s.csv").mkdir()
+    (tmp_path / "s.csv" / "a.csv").write_bytes("marca,año\nCitroën,2019\nx,\n".encode())
+    (tmp_path / "s.csv" / "b.csv").write_bytes("marca,año\nCitroën,2020\n".encode("latin-1"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("8b", "128m"):  # also where files are split
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.read_sheet(spark, f"file://{tmp_path}/s.csv")
+            assert sorted(tuple(r) for r in got.collect()) == [("Citroën", "2019"), ("Citroën", "2020"), ("x", None)]
+            assert {c.lower() for c in got.columns} <= {"marca", "año"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_letters_without_their_accents(spark):
+    df = spark.createDataFrame([("Łódź ñÑ ệ ǖ Ž óß",)], "t string")
+    assert df.select(T.deburr(F.col("t"))).head()[0] == "Łodz nN e u Z oß"
