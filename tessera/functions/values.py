@@ -14,13 +14,14 @@ FLEET, CLAIM, RENEWAL = ("FLEET", "FLOTA", "COTIZACIÓN", "QUOTE", "VEHÍCULOS")
 VEHICLE_BRANDS = ("TOYOTA", "HONDA", "NISSAN", "MITSUBISHI", "FORD", "CHEVROLET", "VOLKSWAGEN", "GENERAL MOTORS", "GM", "HYUNDAI", "KIA", "TRACTO", "REMOLQUE", "CAMION", "AUTO", "PICKUP")
 VEHICLE_TRAITS = ("DIESEL", "GASOLINA", "4X4", "4X2", "AUTOMATICO", "MANUAL")
 MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+# Patterns of mails, in any case of letters; a name goes on over line ends until something else than letters, blanks and dots.
 PATTERNS = {
-    "client_name": (r"(?:CLIENTE|CLIENT|ASEGURADO):[ \t]*([A-Za-z \t.]+)", r"(?:NOMBRE|NAME):[ \t]*([A-Za-z \t.]+)"),
-    "client_rfc": (r"(?:RFC):\s*([A-Za-z0-9]{10,13})", r"\b([A-Za-z]{3,4}[0-9]{6}[A-Za-z0-9]{3})\b"),
-    "broker_name": (r"(?:BROKER|AGENTE|INTERMEDIARIO):[ \t]*([A-Za-z \t.]+)", r"(?:CORREDOR):[ \t]*([A-Za-z \t.]+)"),
+    "client_name": (r"(?:CLIENTE|CLIENT|ASEGURADO):\s*([A-Z\s\.]+)", r"(?:NOMBRE|NAME):\s*([A-Z\s\.]+)", r"(?:RAZÓN SOCIAL|COMPANY):\s*([A-Z\s\.]+)"),
+    "client_rfc": (r"(?:RFC):\s*([A-Z0-9]{10,13})", r"\b([A-Z]{3,4}\d{6}[A-Z0-9]{3})\b"),
+    "broker_name": (r"(?:BROKER|AGENTE|INTERMEDIARIO):\s*([A-Z\s\.]+)", r"(?:CORREDOR):\s*([A-Z\s\.]+)"),
     "broker_email": (rf"(?:EMAIL|CORREO):\s*({MAIL})", rf"\b({MAIL})\b"),
 }
-LOSS = (r"(?:HISTORIAL DE SINIESTROS|LOSS HISTORY):[ \t]*([A-Za-z \t]+)", r"(?:SINIESTROS|CLAIMS):\s*(SÍ|NO|YES)")
+LOSS = (r"(?:HISTORIAL DE SINIESTROS|LOSS HISTORY):\s*([A-Z\s]+)", r"(?:SINIESTROS|CLAIMS):\s*(SÍ|NO|YES|NO)")
 
 
 def text_value(c: Column) -> Column:

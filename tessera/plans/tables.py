@@ -271,8 +271,12 @@ e AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Quote' WHEN 1 THEN 'Clai
   || CASE c_custkey % 5 WHEN 0 THEN '1. Toyota  Hilux ' || (1990 + c_custkey % 40) || ' diesel' || chr(10) || '* TOYOTA hilux ' || (1990 + c_custkey % 40) || ' DIESEL' || chr(10) || '2) Ford Ranger 2012' || chr(10) WHEN 1 THEN 'Toyota corto' || chr(10) ELSE '- nada' || chr(10) END || CASE c_custkey % 7 WHEN 0 THEN 'SINIESTROS: NO' WHEN 1 THEN 'con siniestros' ELSE '' END AS body FROM customer)"""
 
 
+def _title_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')"
+
+
 @register(f"""WITH {MAILS_SQL}
-SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN array_to_string(list_transform(string_split(lower(trim(regexp_extract(body, '(?i)CLIENTE:[ \\t]*([A-Za-z \\t.]+)', 1))), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') END AS client_name, nullif(upper(regexp_extract(body, '(?i)RFC:\\s*([A-Za-z0-9]{{10,13}})', 1)), '') AS client_rfc, CASE WHEN c_custkey % 8 <> 3 THEN 'Ana Maria' END AS broker_name,
+SELECT c_custkey, {_title_sql("nullif(regexp_extract(body, '(?i)CLIENTE:[[:space:]]*([A-Z[:space:].]+)', 1), '')")} AS client_name, nullif(upper(regexp_extract(body, '(?i)RFC:\\s*([A-Za-z0-9]{{10,13}})', 1)), '') AS client_rfc, {_title_sql("nullif(regexp_extract(body, '(?i)BROKER:[[:space:]]*([A-Z[:space:].]+)', 1), '')")} AS broker_name,
   CASE WHEN c_custkey % 9 <> 4 THEN 'u' || c_custkey || '@x.com' END AS broker_email, CASE lower(subject) WHEN 'quote' THEN 'fleet_quote' WHEN 'claim' THEN 'claim_report' WHEN 'renewal' THEN CASE WHEN contains(upper(body), 'SINIESTRO') THEN 'claim_report' ELSE 'policy_renewal' END ELSE CASE WHEN contains(upper(body), 'SINIESTRO') THEN 'claim_report' ELSE 'general_inquiry' END END AS kind,
   CASE c_custkey % 7 WHEN 0 THEN 'NO' WHEN 1 THEN 'con siniestros' END AS losses FROM e""")
 def mail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
