@@ -40,5 +40,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_no_cross_join_and_group_limit(spark):
-    plan = contract.queries()["queue_match"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "WindowGroupLimit" in plan
+    plan = lambda name: contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    best = plan("queue_match")  # the best of a key by an aggregate that is combined before the shuffle
+    assert "Cartesian" not in best and "NestedLoop" not in best and "Window" not in best
+    assert "WindowGroupLimit" in plan("candidate_cap")
