@@ -42,9 +42,12 @@ def stage_percent(status: Column) -> Column:
     return F.coalesce(F.try_element_at(known, status), F.lit(0))
 
 
-def results_summary(results: DataFrame, run: str, confidence: str, code: str) -> DataFrame:
-    """(run, n, n_codes, average): average confidence in per cent to one place, where none counts as 0, and results with a code."""
+def results_summary(results: DataFrame, run: str, confidence: str, code: str, order: list[Column] | None = None) -> DataFrame:
+    """(run, n, n_codes, average): average confidence in per cent to one place, where none counts as 0, and results with a code. A sum of
+    doubles depends on its order and may fall to either side of a half: with `order` a run's results are added in that order."""
     has = F.col(code).isNotNull() & (F.col(code) != "")
+    if order is not None:
+        results = results.withColumn("_order", F.struct(*order)).repartition(run).sortWithinPartitions(run, "_order")
     return results.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("n_codes"), F.round(F.avg(F.coalesce(confidence, F.lit(0.0))) * 100, 1).alias("average"))
 
 

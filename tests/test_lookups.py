@@ -63,3 +63,22 @@ def test_batch_errors_first_five_and_rest(spark):
     assert got["a"] == (14, 7, ["Batch size 14 exceeds maximum (10)", *(f"Vehicle {i}: {bad}" for i in (1, 3, 5, 7, 9)), "Additional 2 vehicles have validation errors"])
     assert got["b"] == (1, 1, [f"Vehicle 0: {bad}"]) and got["c"] == (1, 0, [])
     assert R.batch_errors(df.limit(0), "batch", "pos", "errors").count() == 0
+
+
+def test_results_summary_adds_in_the_order_given(spark):
+    def average(values):
+        total = 0.0
+        for v in values:
+            total += v
+        return int(total / len(values) * 100 * 10 + 0.5) / 10
+
+    r = random.Random(1)
+    orders = [[r.choice((0.1, 0.2, 0.4, 0.5, 0.7, 0.0)) for _ in range(8)] for _ in range(4000)]
+    runs = [x for x in orders if average(x) != average(x[::-1])]  # a half that falls to either side
+    assert runs
+    rows = [(run, at, v, "c") for run, x in enumerate(runs) for at, v in enumerate(x)]
+    r.shuffle(rows)
+    table = spark.createDataFrame(rows, "run int, at int, v double, code string").repartition(5, "at")
+    for step in (1, -1):
+        order = [F.col("at") * step]
+        assert {x.run: x.average for x in R.results_summary(table, "run", "v", "code", order).collect()} == {run: average(x[::step]) for run, x in enumerate(runs)}
