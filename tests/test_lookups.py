@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import coverage as C
 from tessera.functions import values as V
 from tessera.operators import requests as R
-from tessera.operators.contains import contains_join, text_search
+from tessera.operators.contains import contains_join, description_search, text_search
+from tessera.operators.search import tfidf, tfidf_cosine
 from tessera.operators.vectors import ladder
 
 
@@ -82,3 +83,40 @@ def test_results_summary_adds_in_the_order_given(spark):
     for step in (1, -1):
         order = [F.col("at") * step]
         assert {x.run: x.average for x in R.results_summary(table, "run", "v", "code", order).collect()} == {run: average(x[::step]) for run, x in enumerate(runs)}
+
+
+def _joins(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_searches_send_no_table_through_the_driver(spark):
+    asked = spark.createDataFrame([(i, f"small ring {i}") for i in range(50)], "q long, d string")
+    entries = spark.createDataFrame([(i, f"small ring {i}") for i in range(200)], "code long, t string")
+    got = description_search(asked, "q", "d", entries, "code", "t", k=3)
+    texts = [(i, f"small ring {i}") for i in range(200)]
+    want = {(q, code) for q in range(50) for code in [c for c, t in texts if f"small ring {q}" in t][:3]}
+    assert {(x.q, x.code) for x in got.collect()} == want
+    assert _joins(got) == 0
+    x = tfidf(entries, "code", "t")
+    found = tfidf_cosine(x, entries.select("code", (F.col("code") + 1).alias("other")), "code", "other")
+    assert found.count() == 199 and _joins(found) <= 4  # the 1,000 terms alone: for the weights and lengths of each side
+
+
+def test_text_search_of_equal_phrases_and_texts(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(3)) for _ in range(12)]
+    entries = [(i, r.choice(texts)) for i in range(150)]
+    phrases = [" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(6)]
+    asked = [(i, r.choice(phrases)) for i in range(40)]
+
+    def score(p, t):
+        terms = p.upper().split()
+        return sum(w in t.upper() for w in terms) + (len(terms) if p.upper() in t.upper() else 0)
+
+    want = set()
+    for q, p in asked:
+        best = sorted((-score(p, t), code) for code, t in entries if any(w in t.upper() for w in p.upper().split()))[:7]
+        want |= {(q, code, -s, i + 1) for i, (s, code) in enumerate(best)}
+    got = text_search(spark.createDataFrame(asked, "q long, p string"), "q", "p", spark.createDataFrame(entries, "code long, t string"), "code", "t", 7)
+    assert {(x.q, x.code, x.score, x["rank"]) for x in got.collect()} == want
