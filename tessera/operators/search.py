@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import values as V
 
+#: Rows whose terms a task holds.
+TASK = 20_000
+
 
 def find(entries: DataFrame, criteria: dict) -> DataFrame:
     """Entries by brand_prefix, year_range (inclusive), model_contains, else equality of a column (texts in any case); other keys are ignored."""
@@ -42,24 +45,25 @@ def with_aliases(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 
 def tfidf(df: DataFrame, key: str, text: str, terms: int = 1000) -> DataFrame:
     """(key, t, x): TF-IDF weights, tf * (ln((1 + n) / (1 + df)) + 1), of each row's terms by unit length. Terms are the words of two characters
-    or more and the pairs of neighbours among them; the `terms` most frequent of the table count, of equal ones the first by name."""
+    or more and the pairs of neighbours among them; the `terms` most frequent of the table count, of equal ones the first by name.
+    Rows of terms repeat so much that they look small when packed: joins of them are told to sort, not to send one side to the driver."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_]", " "), r"\s+", " ")), " "), lambda w: F.length(w) > 1)
-    w = df.select(key, words.alias("_w"))
+    n = df.count()
+    w = df.select(key, text).repartition(n // TASK + 1, key).select(key, words.alias("_w"))  # once by key: what follows by key and term needs no more
     two = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1)))
     every = w.select(key, F.explode(F.concat("_w", F.when(F.size("_w") > 1, two).otherwise(F.array().cast("array<string>")))).alias("t"))
     f = every.groupBy(key, "t").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.count()
     d = f.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "t").limit(terms).drop("all")
     x = f.join(F.broadcast(d), "t").select(key, "t", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("x"))  # `terms` rows
     length = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
-    return x.join(length, key).select(key, "t", (F.col("x") / F.col("l")).alias("x"))
+    return x.join(length.hint("merge"), key).select(key, "t", (F.col("x") / F.col("l")).alias("x"))
 
 
 def tfidf_cosine(x: DataFrame, pairs: DataFrame, left: str, right: str) -> DataFrame:
     """similarity of the pairs (left, right) of rows that share a word."""
-    a = pairs.join(x, left)
+    a = pairs.join(x.hint("merge"), left)
     b = x.select(F.col(left).alias(right), "t", F.col("x").alias("y"))
-    return a.join(b, [right, "t"]).groupBy(left, right).agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+    return a.join(b.hint("merge"), [right, "t"]).groupBy(left, right).agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
 
 
 def vehicle_lines(df: DataFrame, key: str, text: str) -> DataFrame:
