@@ -31,6 +31,11 @@ def test_lookups(spark):
     q = spark.createDataFrame([(1, "FORD", "iesta", None), (2, None, "0%", None), (3, "ford", "", 2011), (4, None, None, 2010), (5, "for", "f_esta", None)], "q int, brand string, model string, year int")
     got = {(r.q, r.code) for r in C.find_like(q, "q", e).collect()}
     assert got == {(1, 1), (1, 2), (2, 1), (3, 2)}
+    # equal demands of many records over equal entries: the least codes of all of them
+    many = e.limit(0).unionByName(spark.createDataFrame([(i, "Ford", f"Fiesta {i % 4}", None if i % 5 == 0 else 2000 + i % 3) for i in range(200)], "code long, brand string, model string, year int"))
+    asked = spark.createDataFrame([(i, "ford", "fiesta", 2001 if i % 2 else None) for i in range(30)], "q int, brand string, model string, year int")
+    codes = {0: list(range(7)), 1: [i for i in range(200) if i % 5 and i % 3 == 1][:7]}
+    assert {(r.q, r.code, r["rank"]) for r in C.find_like(asked, "q", many, 7).collect()} == {(q, c, i + 1) for q in range(30) for i, c in enumerate(codes[q % 2])}
 
 
 def test_assembly_prefers_the_mail_then_the_first_attachment(spark):
