@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries that a task compares with a batch at a time; what stands for the similarity of a row to itself, in millionths.
+#: Queries, and vectors, that a task compares at a time; what stands for the similarity of a row to itself, in millionths.
 SLICE, SELF = 512, -2_000_000
 #: Vectors of a part of the grid or of a cell's file; vectors that the cells' centres are learned from; the most cells.
 PART, SAMPLE, CELLS = 16_384, 65_536, 4_096
@@ -74,23 +74,26 @@ def _best(sim: np.ndarray, k: int) -> np.ndarray:
 
 
 def _nearest(v: pa.Table, q: pa.Table, k: int, width: int, filters: Filters) -> Iterator[pa.RecordBatch]:
-    """The best k of the vectors for each query."""
+    """The best k of the vectors for each query, of which a slice of either side is compared at a time."""
     v = v.take(pa.array(np.argsort(v.column("vec_id").to_numpy(), kind="stable")))
-    own, at = v.column("vec_id").to_numpy(), _unit(v.column("embedding"), width).T
+    own = v.column("vec_id").to_numpy()
     for i in range(0, q.num_rows, SLICE):
         some = q.slice(i, SLICE)
-        ids = some.column("vec_id").to_numpy()
-        sim = _unit(some.column("embedding"), width) @ at * 1e6
-        sim = np.trunc(sim + np.copysign(0.5, sim)).astype(np.int64)  # as round(x, 6) of the SQL
-        sim[ids[:, None] == own[None, :]] = SELF
-        no = filters.out(some, v)
-        if no is not None:
-            sim[no] = SELF
-        best = _best(sim, k)
-        row = np.repeat(np.arange(len(ids)), best.shape[1])
-        near = sim[row, best.ravel()]
-        use = near > SELF
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[row][use]), "vec_id": pa.array(own[best.ravel()][use]), "similarity": pa.array(near[use] / 1e6)})
+        ids, asked = some.column("vec_id").to_numpy(), _unit(some.column("embedding"), width)
+        near, at = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int64)  # by vec_id, as the vectors are
+        for j in range(0, v.num_rows, SLICE):
+            part = v.slice(j, SLICE)
+            sim = asked @ _unit(part.column("embedding"), width).T * 1e6
+            sim = np.trunc(sim + np.copysign(0.5, sim)).astype(np.int64)  # as round(x, 6) of the SQL
+            sim[ids[:, None] == own[None, j : j + SLICE]] = SELF
+            no = filters.out(some, part)
+            if no is not None:
+                sim[no] = SELF
+            near, at = np.hstack([near, sim]), np.hstack([at, np.broadcast_to(np.arange(j, j + part.num_rows), sim.shape)])
+            best = np.sort(_best(near, k), axis=1)
+            near, at = np.take_along_axis(near, best, axis=1), np.take_along_axis(at, best, axis=1)
+        row, use = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel() > SELF
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[row][use]), "vec_id": pa.array(own[at.ravel()][use]), "similarity": pa.array(near.ravel()[use] / 1e6)})
 
 
 def _sound(df: DataFrame) -> DataFrame:
