@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vehicle as H
 from tessera.operators import flow as L
-from tessera.plans.contract import DIRTY_SQL, _sim_sql, catalogue, dirty, register, table
+from tessera.plans.contract import DIRTY_SQL, _sim_sql, catalogue, dirty, register, spread, table
 from tessera.plans.fuzzy import ratio_sql
 from tessera.plans.records import PREPROCESSED_SQL, _any_sql, _parts_sql, preprocessed
 
@@ -43,7 +43,7 @@ SELECT query_id, status, code, CASE WHEN status = 'MATCHED' THEN 'brand' || CASE
 """)
 def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records through the whole flow: candidates, scores, ties, results, and rows for those without a match or with an error."""
-    parts, k = table(spark, sf_dir, "part"), F.col("query_id")
+    parts, k = spread(table(spark, sf_dir, "part"), "p_partkey"), F.col("query_id")
     text = preprocessed(parts).select(F.col("k").alias("query_id"), "text", *L.ATTRIBUTES)
     brand = F.when(k % 11 == 0, "NOBRAND").when(k % 19 != 0, F.col("q_brand"))
     records = dirty(parts).withColumn("q_brand", brand).join(text.drop("text"), "query_id")

@@ -39,3 +39,22 @@ def test_no_year_among_tied(spark):
     rows = [("q", 1, 0.9, None, None, 0.5, 0.0, 3), ("q", 2, 0.9, None, None, 0.5, 0.0, 3)]
     df = spark.createDataFrame(rows, "q string, code long, score double, y int, qy int, full double, strength double, detail int")
     assert [(r.code, r.tied) for r in M.break_ties(df, "q").collect()] == [(1, 2)]
+
+
+def test_what_is_stored_grows_with_keys_not_pairs(spark, monkeypatch):
+    """Records and entries of one brand and year that differ in their attributes alone: nothing is kept for each pair of them."""
+    fuels, drives, bodies = ("DIESEL", "GASOLINA", "HYBRID", "ELECTRIC"), ("4X4", "AWD", "FWD", "RWD"), ("SEDAN", "SUV", "PICKUP")
+    kinds = [(f, d, b) for f in fuels for d in drives for b in bodies]
+    entries = [(i, "Ford", "Fiesta", 2012, " ".join(k)) for i, k in enumerate(kinds)]
+    records = [(i, "Ford", "Fiesta", 2012, k[0].replace("GASOLINA", "GASOLINE"), k[1], k[2], None) for i, k in enumerate(kinds)]
+    sizes, stored = [], L.stored
+
+    def counted(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "stored", counted)
+    got = run(spark, records, entries)
+    assert all((got[i].code, got[i].candidates) == (i, len(kinds)) for i in range(len(kinds)))
+    assert max(sizes) <= 2 * len(kinds)  # before, one row for each of 48 * 48 pairs
