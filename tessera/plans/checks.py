@@ -11,7 +11,7 @@ from tessera.functions.html import html_tables
 from tessera.operators import checks as C
 from tessera.operators import profile as P
 from tessera.plans import records as R
-from tessera.plans.contract import register, table
+from tessera.plans.contract import register, spread, table
 
 FUELS, BODIES = ("TDI", "nafta", "STEAM", ""), ("dc", "SUV", "van")
 _pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
@@ -124,7 +124,7 @@ def html_mail_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</td></tr></td><tr><td>2</td><td> <script>x()</script><i>Ford Fiesta 2012</i></td></tr></table><table><tr></tr></table>"),
     )
     html = F.when(k % 7 == 0, "<p>nothing</p>").otherwise(whole)
-    t = table(spark, sf_dir, "customer").select(k.alias("k"), html_tables(html).alias("t"))
+    t = spread(table(spark, sf_dir, "customer"), "c_custkey").select(k.alias("k"), html_tables(html).alias("t"))
     cells = F.array_join(F.transform("t", lambda x: F.array_join(F.transform(x["rows"], lambda r: F.array_join(r, "|")), ";")), "#")
     first = F.when(F.size("t") > 0, F.array_join(V.table_vehicles(F.col("t")[0]["rows"]), "|")).otherwise("")
     return t.select("k", F.size("t").alias("n_tables"), cells.alias("cells"), first.alias("vehicles"))
