@@ -73,15 +73,27 @@ def holds_any(c: Column, parts) -> Column:
 
 def preprocess(c: Column) -> dict[str, Column]:
     """cleaned, brand, model, year, fuel, drivetrain, body of a description: cleaned, without a doubled first word, without years."""
-    clean = T.clean_description(c)
-    words = F.split(clean, " ")
-    clean = F.when((F.size(words) >= 2) & (words[0] == F.get(words, 1)), F.array_join(F.slice(words, 2, 1_000_000), " ")).otherwise(clean)
+    clean = undoubled(T.clean_description(c))
     year = T.first_year(clean)
-    clean = F.when(year.isNotNull(), T.collapse(F.regexp_replace(clean, YEAR, ""))).otherwise(clean)
+    clean = without_years(clean, year)
+    return {"cleaned": clean, "year": year} | parts_of(clean)
+
+
+def undoubled(clean: Column) -> Column:
+    words = F.split(clean, " ")
+    return F.when((F.size(words) >= 2) & (words[0] == F.get(words, 1)), F.array_join(F.slice(words, 2, 1_000_000), " ")).otherwise(clean)
+
+
+def without_years(clean: Column, year: Column) -> Column:
+    return F.when(year.isNotNull(), T.collapse(F.regexp_replace(clean, YEAR, ""))).otherwise(clean)
+
+
+def parts_of(clean: Column) -> dict[str, Column]:
+    """brand, model, fuel, drivetrain, body of a cleaned description."""
     words = F.split(clean, " ")
     brand = F.nullif(words[0], F.lit(""))
     alias = F.coalesce(*(F.when(brand == k, v) for k, v in BRAND_ALIASES.items()), brand)
-    return {"cleaned": clean, "brand": alias, "model": F.get(words, 1), "year": year, "fuel": first_word_class(clean, FUEL_WORDS), "drivetrain": first_word_class(clean, DRIVETRAIN_WORDS), "body": first_word_class(clean, BODY_WORDS)}
+    return {"brand": alias, "model": F.get(words, 1), "fuel": first_word_class(clean, FUEL_WORDS), "drivetrain": first_word_class(clean, DRIVETRAIN_WORDS), "body": first_word_class(clean, BODY_WORDS)}
 
 
 def allows(constraint: Column, description: Column, variants: dict) -> Column:

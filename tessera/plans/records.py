@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import values as V
 from tessera.functions import vehicle as H
+from tessera.operators import flow as L
 from tessera.operators import matching as M
 from tessera.operators import profile as P
-from tessera.plans.contract import catalogue, dirty, register, table
+from tessera.plans.contract import catalogue, dirty, register, spread, table
 from tessera.plans.contract import DIRTY_SQL, _sim_sql
 
 WORDS = ("diesel", "GASOLINA", "4x4", "AWD", "DC", "sedan", "SUV", "v6", "turbo", "automatico", "manual", "quemacocos", "hybrid", "abs", "cvt", "2dr", "hatchback", "sport", "ac", "rwd", "TDI", "pickup", "4P", "limited")
@@ -54,8 +55,10 @@ pp AS (SELECT k, text, cleaned, year, CASE split_part(cleaned, ' ', 1) WHEN 'VW'
 
 
 def preprocessed(parts: DataFrame) -> DataFrame:
-    v = vehicles(parts)
-    return v.select("k", "text", *(c.alias(n) for n, c in H.preprocess(F.col("text")).items()))
+    """The fields of H.preprocess, a step at a time: as one expression each field would clean the text again, and more than once."""
+    v = vehicles(parts).withColumn("cleaned", T.clean_description(F.col("text"))).withColumn("cleaned", H.undoubled(F.col("cleaned"))).withColumn("year", T.first_year(F.col("cleaned")))
+    v = v.withColumn("cleaned", H.without_years(F.col("cleaned"), F.col("year"))).withColumns(H.parts_of(F.col("cleaned")))
+    return v.select("k", "text", "cleaned", "brand", "model", "year", "fuel", "drivetrain", "body")
 
 
 @register(f"WITH {PREPROCESSED_SQL} SELECT k, cleaned, brand, model, year, fuel, drivetrain, body FROM pp")
@@ -113,13 +116,13 @@ m AS (SELECT q.k, d.k AS code, q.brand AS q_brand, q.model AS q_model, q.year AS
 
 def pairs(parts: DataFrame) -> DataFrame:
     """Each record with two entries of the catalogue, those with the next keys: pairs grow with the records."""
-    q = preprocessed(parts)
-    d = q.select(F.col("k").alias("code"), F.col("text").alias("description"), F.col("brand").alias("d_brand"), F.col("model").alias("d_model"), F.col("year").alias("d_year"), F.col("cleaned").alias("d_cleaned"))
+    q = preprocessed(spread(parts, "p_partkey"))
+    d = q.select(F.col("k").alias("code"), F.col("text").alias("description"), *L.told(F.col("text")), F.col("brand").alias("d_brand"), F.col("model").alias("d_model"), F.col("year").alias("d_year"), F.col("cleaned").alias("d_cleaned"))
     q = q.withColumnsRenamed({"brand": "q_brand", "model": "q_model", "year": "q_year"}).drop("text").withColumn("code", F.explode(F.array(F.col("k") + 1, F.col("k") + 2)))
     t = F.col("description")
     return q.join(d, "code").withColumns({
         "fuel_ok": H.allows(F.col("fuel"), t, H.FUEL_VARIANTS), "drive_ok": H.allows(F.col("drivetrain"), t, H.DRIVETRAIN_VARIANTS), "body_ok": H.allows(F.col("body"), t, H.BODY_VARIANTS),
-        "attr": H.attribute_score(F.col("fuel"), F.col("drivetrain"), F.col("body"), t),
+        "attr": L.attribute_score({a: F.col(a) for a in L.ATTRIBUTES}, {a: F.col(f"e_{a}") for a in L.ATTRIBUTES}),
     })
 
 

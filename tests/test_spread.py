@@ -10,7 +10,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["html_mail_tables"])
+@pytest.mark.parametrize("name", ["html_mail_tables", "domain_confidence"])
 def test_one_file_is_many_tasks(spark, name):
     plan = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert f"RepartitionByExpression [{'c_custkey' if name == 'html_mail_tables' else 'p_partkey'}" in plan
