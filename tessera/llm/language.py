@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +34,56 @@ SAMPLE, LANGUAGES, DIMENSIONS, CACHE = 1_500, 64, 1 << 15, 300_000
 CHAIN, TRAIN_WORDS, STEPS = 64, 24, 40
 #: Chains times languages that are worked on at a time.
 CELLS = 1 << 16
+#: Letters around a word that are none of it; the hash of the mark of whole words.
+STRIPPED, WHOLE = ".,;:!?\"'()[]|*&%$#", zlib.crc32(b"w")
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of a word, none for one without a letter."""
-    w = word.lower().strip(".,;:!?\"'()[]|*&%$#")
-    if not (w.isalpha() or any(map(str.isalpha, w))):
-        return []
-    b, mask = f"<{w}>".encode(), DIMENSIONS - 1
-    crc = zlib.crc32
-    out = [crc(b"w" + b) & mask, crc(b"p" + b[:3]) & mask, crc(b"p" + b[:4]) & mask, crc(b"s" + b[-3:]) & mask, crc(b"s" + b[-4:]) & mask]
-    out += [crc(b[i : i + 2]) & mask for i in range(len(b) - 1)]
-    out += [crc(b[i : i + 3]) & mask for i in range(len(b) - 2)]
+def _tables(mark: bytes, n: int) -> list[np.ndarray]:
+    """The hash of mark and n bytes as a table for each byte, to be joined by exclusive or: a CRC is linear in its bits."""
+    base = zlib.crc32(mark + bytes(n))
+    of = [[zlib.crc32(mark + bytes(i) + bytes([b]) + bytes(n - 1 - i)) ^ (base if i else 0) for b in range(256)] for i in range(n)]
+    return [np.array(x, np.int64) & (DIMENSIONS - 1) for x in of]
+
+
+TABLES = {(mark, n): _tables(mark, n) for mark, n in ((b"p", 3), (b"p", 4), (b"s", 3), (b"s", 4), (b"", 2), (b"", 3))}
+
+
+def _hashed(mark: bytes, n: int, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashes of mark and the n bytes from each place."""
+    t = TABLES[mark, n]
+    out = t[0][text[at]]
+    for i in range(1, n):
+        out ^= t[i][text[at + i]]
     return out
 
 
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word's place, feature) of the hashed features of words, all of one kind together; none for a word without a letter. No word
+    holds white space."""
+    w = [x.strip(STRIPPED) for x in "\n".join(words).lower().split("\n")]
+    place = np.array([i for i, x in enumerate(w) if x.isalpha() or any(map(str.isalpha, x))], dtype=np.int64)
+    if not len(place):
+        return place, place
+    own = [f"<{w[i]}>".encode() for i in place.tolist()]
+    text = np.frombuffer(b"\n".join(own), np.uint8)
+    ends = np.append(np.flatnonzero(text == 10), len(text))
+    begin = np.append(0, ends[:-1] + 1)
+    short = ends - begin < 4
+    out = [(place, np.array([zlib.crc32(x, WHOLE) for x in own], dtype=np.int64) & (DIMENSIONS - 1))]
+    for mark, three, four in ((b"p", begin, begin), (b"s", ends - 3, ends - 4)):
+        out.append((place, h := _hashed(mark, 3, text, three)))
+        h = h.copy()
+        h[~short] = _hashed(mark, 4, text, four[~short])
+        out.append((place, h))
+    of = np.repeat(place, np.diff(np.append(begin, len(text) + 1)))[: len(text)]
+    inside = text != 10
+    two = inside[:-1] & inside[1:]
+    for n, at in ((2, np.flatnonzero(two)), (3, np.flatnonzero(two[:-1] & inside[2:]))):
+        out.append((of[at], _hashed(b"", n, text, at)))
+    row, col = zip(*out, strict=True)
+    return np.concatenate(row), np.concatenate(col)
+
+
 def forward_backward(e: np.ndarray, real: np.ndarray, t: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Marginals [chain, word, label] and, where asked for, summed pair marginals [label, label] from emission scores e,
     for words where real holds (each chain's real words come first), and transition scores t."""
@@ -81,15 +117,10 @@ class Crf:
     transitions: np.ndarray
 
 
-def _flat(features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(features)), [len(f) for f in features]), np.array([x for f in features for x in f], dtype=np.int64)
-
-
-def emissions(features: list[list[int]], weights: np.ndarray) -> np.ndarray:
+def emissions(row: np.ndarray, col: np.ndarray, words: int, weights: np.ndarray) -> np.ndarray:
     """Each word's score for each label: the mean weight of its features, times the root of their number."""
-    row, col = _flat(features)
-    n = np.bincount(row, minlength=len(features))
-    out = np.stack([np.bincount(row, weights[col, j], minlength=len(features)) for j in range(weights.shape[1])], axis=1)
+    n = np.bincount(row, minlength=words)
+    out = np.stack([np.bincount(row, weights[col, j], minlength=words) for j in range(weights.shape[1])], axis=1)
     return out / np.sqrt(np.maximum(n, 1))[:, None]
 
 
@@ -110,7 +141,9 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Crf:
         chains.append((r[:cut] + r2[cut:], y[:cut] + y2[cut:]))
     words = sorted({w for r, _ in chains for w in r})
     at = {w: i for i, w in enumerate(words)}
-    row, col = _flat([word_features(w) for w in words])
+    row, col = word_features(words)
+    order = np.argsort(row, kind="stable")
+    row, col = row[order], col[order]
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(words)), 1))
     ids, gold = np.full((len(chains), TRAIN_WORDS), -1), np.zeros((len(chains), TRAIN_WORDS), dtype=np.int64)
     for i, (r, y) in enumerate(chains):
@@ -168,17 +201,20 @@ class Labeller:
         self.letters = np.zeros(0, dtype=bool)
 
     def _ids(self, split: list[list[str]]) -> np.ndarray:
-        new = list({w for s in split for w in s if w not in self.known})
+        met = set().union(*split)
+        new = list(met - self.known.keys())
         if new:
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
                 self.table, self.letters = self.table[:0], self.letters[:0]
-                new = list({w for s in split for w in s})
-            features = [word_features(w) for w in new]
+                new = list(met)
+            row, col = word_features(new)
+            letters = np.zeros(len(new), dtype=bool)
+            letters[row] = True
             self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, emissions(features, self.model.weights)])
-            self.letters = np.concatenate([self.letters, [bool(f) for f in features]])
-        return np.fromiter((self.known[w] for s in split for w in s), dtype=np.int64, count=sum(map(len, split)))
+            self.table = np.concatenate([self.table, emissions(row, col, len(new), self.model.weights)])
+            self.letters = np.concatenate([self.letters, letters])
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
 
     def marginals(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
         """[word, label] of the words of texts with so many words each."""
