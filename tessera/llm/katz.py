@@ -10,7 +10,7 @@ isn't 0. A token is evaluated recursively: its bigram if seen, else alpha times
 Two tables, partitioned and stored in the shared folder, hold the counts: the unigrams, and the texts' bigrams by a hash of
 the context. Every text is reduced to its distinct bigrams before any shuffle. Almost every bigram of a corpus is rare, so the
 second table is the large one: the HEAD most frequent words go by their rank, and each task packs the bigrams of a bucket
-into one binary value of byte planes, some 5 bytes for each. A word outside the head brings its own count with it, joined by
+into one binary value of byte planes, some 4 bytes for each. A word outside the head brings its own count with it, joined by
 word (it is rare, so no such key is hot); the head's counts are sent to the tasks once, some 20 MB at most. A bucket has some
 BUCKET bigrams; a context with more of them is spread over buckets by its next word, and the sums of its parts meet on the
 driver, one row for each such context (they are words of the head). Values go back to their texts in the same way, packed
@@ -271,12 +271,12 @@ def _flushed(parts: Iterator[list[np.ndarray]], packed) -> Iterator[pa.RecordBat
 
 
 def _common(head: Broadcast, buckets: int):
-    """The bigrams whose token is in the head, packed."""
+    """The bigrams whose token is in the head, packed without its count: whoever reads the rank has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = head.value
         found = (_entries(b, u, False) for batch in batches for b in pieces(batch, "text", 2 << 20))
-        yield from _flushed(([*e, u.count[e[1]]] for e in found), _packer(u, buckets))
+        yield from _flushed(([*e, np.zeros(len(e[0]), np.int64)] for e in found), _packer(u, buckets))
 
     return run
 
@@ -293,10 +293,12 @@ def _repack(head: Broadcast, buckets: int):
 # ---- passes over the buckets --------------------------------------------------------------------
 
 
-def _bucket(blobs) -> tuple:
+def _bucket(blobs, head: np.ndarray) -> tuple:
     """A bucket's bigrams in order: their columns, where each distinct one begins, its training count; where each context begins."""
     parts = [unpack(x.as_py(), 5) for x in blobs]
     h, w, key, n, c = np.concatenate([np.concatenate([np.cumsum(x[:1], axis=1), x[1:]]) for x in parts], axis=1)
+    near = w >= 0
+    c[near] = head[w[near]]
     pair = by_pair(h, w)
     order = np.argsort(pair)
     h, key, n, c = (x[order] for x in (h, key, n, c))
@@ -313,7 +315,7 @@ def _sums(head: Broadcast):
         for batch in batches:
             ids, rows = [], []
             for blobs in batch.column("blobs"):
-                h, _, _, c1, at, c, new = _bucket(blobs)
+                h, _, _, c1, at, c, new = _bucket(blobs, u.count)
                 r = np.stack([c == i for i in range(1, CUT + 2)], axis=1).astype(np.int64)
                 ids.append(None)
                 rows.append([*r.sum(axis=0), 0, 0.0])
@@ -341,7 +343,7 @@ def _values(head: Broadcast, d: list[float], spread: tuple[np.ndarray, np.ndarra
         u = head.value
         for batch in batches:
             for blobs in batch.column("blobs"):
-                h, key, n, c1, at, c, new = _bucket(blobs)
+                h, key, n, c1, at, c, new = _bucket(blobs, u.count)
                 p, own = u.p(c1[at]), h[at][new]
                 by = np.stack([np.add.reduceat((c == i).astype(np.int64), new) for i in range(1, CUT + 1)], axis=1)
                 below, alpha = context_weights(d, by, np.add.reduceat(np.where(c > CUT, c, 0), new), np.add.reduceat(c, new), np.add.reduceat(np.where(c > 0, p, 0.0), new))

@@ -4,7 +4,9 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,22 @@ def test_packed_numbers():
     rng = random.Random(1)
     a = [katz.np.array([rng.randrange(-(1 << 63), 1 << 63) >> rng.randrange(60) for _ in range(n)], katz.np.int64) for n in (50, 50)]
     assert (katz.unpack(katz.pack(*a), 2) == katz.np.stack(a)).all()
+
+
+def test_counts_of_head_words_are_not_packed():
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(30)) for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "key": pa.array(range(50), pa.int64()), "held_out": pa.array([i % 3 == 0 for i in range(50)])})
+    tok, count = katz.np.unique(katz._tokens(batch)[2], return_counts=True)
+    head = {t: i for i, t in enumerate(tok.tolist()) if i % 4}  # every fourth word is outside the head
+    rank = katz.np.full(len(tok), 0)
+    rank[list(head.values())] = range(len(head))
+    ids = lambda x: katz.np.array([rank[head[t]] if t in head else t - (1 << 64 if t >> 63 else 0) | int(katz.FAR) for t in x.tolist()], katz.np.int64)
+    u = SimpleNamespace(ids=ids, count=count[list(head.values())], share=katz.np.ones(len(head), katz.np.int64))
+    out = pa.Table.from_batches(katz._common(SimpleNamespace(value=u), 1)(iter([batch])))
+    assert not katz.unpacked(out.column("blob"), 5)[4].any()
+    h, key, n, c, at, trained, new = katz._bucket(out.column("blob"), u.count)
+    text, ctx, token = katz._tokens(batch)
+    want = Counter(zip(text.tolist(), ids(ctx).tolist(), ids(token).tolist(), strict=True))
+    want = sorted((k, a, m, int(u.count[w])) for (k, a, w), m in want.items() if w >= 0)
+    assert sorted(zip(key.tolist(), h.tolist(), n.tolist(), c.tolist(), strict=True)) == want
